@@ -3,7 +3,8 @@
 Features are 1- to 3-grams of lower-cased letters (each run of other characters is one space), hashed to 2^14 columns;
 log counts times inverse document frequency, scaled to length 1. Document frequencies are counted over all training rows. Weights are
 trained by follow-the-regularised-leader with elastic-net penalties on a bounded sample (SAMPLE documents at most, in
-expectation, the same number for each language); a fifth of the sample is kept out of that to fit the temperature.
+expectation, the same number for each language); a fifth of the sample is kept out of that to fit the temperature, against
+targets smoothed by one row. Scores then get the languages' shares of all training rows as a prior.
 """
 
 from __future__ import annotations
@@ -56,8 +57,9 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
 
 
 class Model:
-    def __init__(self, langs: list[str], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray, heat: float = 1.0):
-        self.langs, self.idf, self.weights, self.bias, self.heat = langs, idf, weights, bias, heat
+    def __init__(self, langs: list[str], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        self.langs, self.idf, self.weights, self.bias = langs, idf, weights, bias
+        self.heat, self.prior = 1.0, np.zeros(len(langs))
 
     def logits(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
         x = tf * self.idf[at]
@@ -67,7 +69,7 @@ class Model:
         found = grams(text)
         if found is None or not self.langs:
             return UNKNOWN, 0.0
-        z = self.logits(*found) / self.heat
+        z = self.logits(*found) / self.heat + self.prior
         p = np.exp(z - z.max())
         k = int(p.argmax())
         return self.langs[k], float(p[k] / p.sum())
@@ -99,10 +101,14 @@ def train(langs: list[str], idf: np.ndarray, rows: list[tuple[int, np.ndarray, n
         scores = np.array([model.logits(at, tf) for _, at, tf in held])
         right = np.array([y for y, _, _ in held])
 
+        target = np.full(scores.shape, 1 / (len(right) + 2) / (k - 1))
+        target[np.arange(len(right)), right] = 1 - 1 / (len(right) + 2)
+
         def loss(heat):
             s = scores / heat
             top = s.max(axis=1)
-            return float((np.log(np.exp(s - top[:, None]).sum(axis=1)) + top - s[np.arange(len(right)), right]).mean())
+            log_p = s - top[:, None] - np.log(np.exp(s - top[:, None]).sum(axis=1))[:, None]
+            return float(-(log_p * target).sum(axis=1).mean())
 
         model.heat = min(np.geomspace(0.05, 5, 60), key=loss)
     return model
@@ -142,7 +148,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows = some.select("lang", order.alias("o"), "text").mapInArrow(_sampled, "lang string, o long, at binary, tf binary").collect()
     number = {k: i for i, k in enumerate(langs)}
     rows = sorted(rows, key=lambda r: (r["o"], r["lang"]))
-    return train(langs, idf, [(number[r["lang"]], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["tf"], "<f4").astype(float)) for r in rows])
+    model = train(langs, idf, [(number[r["lang"]], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["tf"], "<f4").astype(float)) for r in rows])
+    model.prior = np.log([sizes[k] / sum(sizes.values()) * len(langs) for k in langs])
+    return model
 
 
 def identify(docs: DataFrame) -> DataFrame:
