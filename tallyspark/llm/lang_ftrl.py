@@ -177,7 +177,7 @@ def _apply(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(predicted, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of docs whose language is known with a score of at least `least`, with all columns.
 
     A row that repeats a doc_id goes only if all its rows go.
