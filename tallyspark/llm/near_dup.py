@@ -6,9 +6,9 @@ chunks of 4 symbols, and by the pigeonhole principle one chunk at least differs
 each chunk is indexed 4 times, each time without one of its symbols (the allowed chunk error). A pair at
 similarity 0.75 stays within distance 31 with probability over 0.9999. Candidates are confirmed on full sets.
 
-Equal sets are one class before anything is joined. In each index bucket all members are first compared with its smallest;
-then only members of buckets that still hold several components are compared with each other, so a large group of
-near copies costs comparisons in proportion to its size.
+Equal sets are one class before anything is joined. In each index bucket all members are first compared with its head (the one that meets most others in all);
+then only members of buckets that still hold several components are compared with each other, in blocks, by exact bounds of
+what they can have in common, so a large group of near copies gives links and few pairs beside them.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ._common import fresh, shingles, stash
 
 SYMBOLS, CHUNK, ERRORS = 64, 4, 31
+#: Members of a bucket that one task compares with each other or with as many others.
+BLOCK = 1024
 CHUNKS = SYMBOLS // CHUNK
 _ODD = np.random.RandomState(20240607).randint(1, 2**62, SYMBOLS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -94,6 +96,44 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
 
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows cid, hi, n, sig, text: how many shingles fall in each of 256 ranges of the hash, for texts that have the class's set."""
+    for b in batches:
+        keep, out = [], []
+        for i, (hi, text) in enumerate(zip(b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True)):
+            if set_id(found := shingles(text))[0] == hi:
+                keep.append(i)
+                out.append(np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=256).astype("<u4").tobytes())
+        rows = b.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(out, pa.binary())], names=["cid", "n", "sig", "profile"])
+
+
+def _compared(rows: pa.Table) -> pa.Table:
+    """Pairs of one bucket's members (of two blocks of them) in different components that may be similar enough.
+
+    By their sizes, by their signatures, and by the ranges of the hash: two sets have no more in common than the sum of the smaller count of each range.
+    """
+    p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
+    own, cid, comp, n = (rows.column(c).to_numpy() for c in ("own", "cid", "comp", "n"))
+    sig = np.array(rows.column("sig").to_pylist(), "<i8").view("<u2").reshape(len(cid), SYMBOLS)
+    profile = np.frombuffer(b"".join(rows.column("profile").to_pylist()), "<u4").reshape(len(cid), 256).astype(np.int32)
+    one, two = (np.flatnonzero(own == p), np.flatnonzero(own == q))
+    out_a, out_b = [], []
+    for i in one:
+        j = two[(comp[two] != comp[i]) & (100 * np.minimum(n[two], n[i]) >= 75 * np.maximum(n[two], n[i]))]
+        if p == q:
+            j = j[cid[j] > cid[i]]
+        if len(j):
+            j = j[(sig[j] != sig[i]).sum(axis=1) <= ERRORS]
+        if len(j):
+            most = np.minimum(profile[j], profile[i]).sum(axis=1)
+            j = j[100 * most >= 75 * (n[j] + n[i] - most)]
+            out_a.append(np.minimum(cid[j], cid[i]))
+            out_b.append(np.maximum(cid[j], cid[i]))
+    none = np.empty(0, np.int64)
+    return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (smallest node it reaches) for every node of edges(a, b): alternating large and small stars, a table each round."""
     cur = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc")
@@ -124,8 +164,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stash(part.groupBy("hi", "lo").agg(F.min("doc_id").alias("cid"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")), "nd-classes")
 
     rows = classes.select("cid", _keys().alias("key"))
-    heads = rows.groupBy("key").agg(F.min("cid").alias("head"))
-    met = stash(rows.join(heads, "key").where("cid != head"), "nd-buckets")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    met = stash(rows.join(sizes, "key"), "nd-buckets")
+    # a bucket's head is the member that meets most others over all its buckets: of copies, most often their original
+    degree = stash(met.groupBy("cid").agg(F.sum("members").alias("degree")), "nd-degree")
+    heads = met.join(degree, "cid").groupBy("key").agg(F.max(F.struct("degree", (-F.col("cid")).alias("c"))).alias("h"))
+    met = stash(met.select("key", "cid").join(heads.select("key", (-F.col("h.c")).alias("head")), "key").where("cid != head"), "nd-stars")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         one = classes.select(F.col("cid").alias("a"), F.col("hi").alias("a_hi"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"))
@@ -136,17 +180,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         full = near.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b").join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
         return full.select("a", "b", "a_hi", "b_hi", "a_text", "b_text").mapInArrow(_confirm, "a long, b long")
 
-    links = stash(confirmed(met.select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()), "nd-links")
+    links = stash(confirmed(met.select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct()), "nd-links")
     comp = stash(components(links), "nd-comp")
 
     # what is left: members of one bucket, beside its head, that are in different components so far
     here = met.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
-    mixed = here.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    left = stash(here.join(mixed, "key").join(classes.select("cid", "n"), "cid"), "nd-left")
-    a = left.select("key", F.col("cid").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"))
-    b = left.select("key", F.col("cid").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_n"))
-    size = F.expr("100 * least(a_n, b_n) >= 75 * greatest(a_n, b_n)")
-    rest = a.join(b, (a.key == b.key) & (a.a < b.b) & (a.a_comp != b.b_comp) & size).select("a", "b").distinct()
+    ranges = here.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members")).where("c0 < c1")
+    left = stash(here.join(ranges.select("key", F.expr(f"CAST(ceil(members / {BLOCK}) AS INT)").alias("blocks")), "key"), "nd-left")
+    who = left.select("cid").distinct().join(classes, "cid")
+    profiles = docs.join(who, docs["doc_id"] == who["cid"]).select("cid", "hi", "n", "sig", "text").mapInArrow(_profiles, "cid long, n long, sig array<long>, profile binary")
+    blocks = left.join(stash(profiles.dropDuplicates(["cid"]), "nd-profiles"), "cid").withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+    rest = blocks.select("key", "p", "q", "own", "cid", "comp", "n", "sig", "profile").groupBy("key", "p", "q").applyInArrow(_compared, "a long, b long").distinct()
     more = stash(confirmed(rest), "nd-more")
     if more.head(1):
         comp = stash(components(more.union(links)), "nd-comp")
