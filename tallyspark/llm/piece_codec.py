@@ -26,10 +26,25 @@ DROPOUT, SEED, VARIANTS = 0.1, 7, 4
 SPACE = "▁"
 
 
+class _Words(dict):
+    """Ids of a word of one variant, remembered."""
+
+    def __init__(self, codec: Codec, v: int):
+        self.codec, self.v, self.most = codec, v, Codec.MEMORY // codec.variants
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.codec._units_of(word if word[0] == "\n" else SPACE + word, self.v)
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Codec:
     """Encodes and decodes with one model file."""
 
-    MEMORY = 300_000
+    MEMORY = 400_000
 
     def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         import sentencepiece
@@ -53,6 +68,9 @@ class Codec:
         self.number = {p: np.array([i], "<u4").tobytes() for p, i in self.ids.items()}
         self.units = re.compile(self._pattern()).findall
         self.known: dict[tuple[int, str], bytes] = {}
+        # words between single spaces (a line break begins a word) are units by themselves if no piece holds a line break
+        self.by_word = len(self._pattern()) > 6 and not any("\n" in p for p in self.ids)
+        self.words = [_Words(self, v) for v in range(variants)]
 
     def _pattern(self) -> str:
         """Units: runs of characters between which some piece may reach."""
@@ -106,23 +124,34 @@ class Codec:
     def variant(self, doc_id: int | None) -> int:
         return zlib.crc32(f"{self.seed}:{doc_id}".encode()) % self.variants
 
+    def _units_of(self, escaped: str, v: int) -> bytes:
+        known, out = self.known, []
+        for u in self.units(escaped):
+            ids = known.get((v, u))
+            if ids is None:
+                if len(known) >= self.MEMORY:
+                    known.clear()
+                ids = self._merge(u, xxhash.xxh3_64_intdigest(f"{self.seed}:{v}:{u}"))
+                if len(u) <= 64:
+                    known[v, u] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, text: str | None, doc_id: int | None = None) -> bytes:
         """Ids as little-endian u32."""
         if not text:
             return b""
-        known, v, out = self.known, self.variant(doc_id), []
+        v = self.variant(doc_id)
+        if self.by_word and SPACE not in text:
+            spaced = text.replace("\n", " \n")
+            if "  " not in spaced and spaced[0] != " " and spaced[-1] != " ":
+                return b"".join(map(self.words[v].__getitem__, spaced.split(" ")))
+        out = []
         for k, part in enumerate(text.split(SPACE)):
             if k:
                 out.extend(self.bytes[x] for x in SPACE.encode())
-            for u in self.units(part.replace(" ", SPACE) if k else SPACE + part.replace(" ", SPACE)):
-                ids = known.get((v, u))
-                if ids is None:
-                    if len(known) >= self.MEMORY:
-                        known.clear()
-                    ids = self._merge(u, xxhash.xxh3_64_intdigest(f"{self.seed}:{v}:{u}"))
-                    if len(u) <= 64:
-                        known[v, u] = ids
-                out.append(ids)
+            escaped = part.replace(" ", SPACE)
+            out.append(self._units_of(escaped if k else SPACE + escaped, v))
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:
