@@ -70,7 +70,7 @@ def schedule(docs: DataFrame, block: int = BLOCK, period: int = PERIOD, temper:
     units = stash(shares(parts.groupBy("source").agg(F.sum("n").alias("n")), period, temper), "mix-units")
     slots = stash(period_schedule(units).join(units, "source"), "mix-slots")
 
-    blocks = F.expr(f"n DIV {block}")  # whole blocks of a source: the mix ends where one is used up
+    blocks = F.expr(f"(n + {block - 1}) DIV {block}")  # of a source, the last one perhaps short: the mix ends where one is used up
     ends = units.select("source", blocks.alias("done"), "units", "span")
     ends = ends.join(slots.select("source", "k", "slot"), "source").where(F.expr("k = done % units"))
     end = ends.agg(F.min(F.expr("(done DIV units) * span + slot")).alias("end"))
@@ -119,7 +119,7 @@ s AS (
     SELECT t, given, span, list_min(list_transform(given, lambda g, i: CASE WHEN g < units[i] AND (g * span) // units[i] <= t + 1
       THEN (((g + 1) * span + units[i] - 1) // units[i]) * 1000000 + i END)) % 1000000 AS w FROM s, l WHERE t + 1 < span)),
 k AS (SELECT won, t AS slot, row_number() OVER (PARTITION BY won ORDER BY t) - 1 AS k FROM s WHERE t >= 0 AND won IS NOT NULL),
-e AS (SELECT min(((n // {BLOCK}) // units) * span + slot) AS fin FROM u JOIN k ON k.won = u.i AND k.k = (n // {BLOCK}) % units),
+e AS (SELECT min((((n + {BLOCK - 1}) // {BLOCK}) // units) * span + slot) AS fin FROM u JOIN k ON k.won = u.i AND k.k = ((n + {BLOCK - 1}) // {BLOCK}) % units),
 m AS (SELECT r.doc_id, r.source, r.rank, r.rank // {BLOCK} AS block, units, span, i FROM r JOIN u USING (source))
 SELECT doc_id, CASE WHEN source <> chr(0) || 'null' THEN source END AS source, CAST(rank AS BIGINT) AS rank, CAST(block AS BIGINT) AS block,
   CAST((block * span) // units AS BIGINT) AS release, CAST(((block + 1) * span + units - 1) // units AS BIGINT) AS deadline,
