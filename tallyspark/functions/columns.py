@@ -98,7 +98,7 @@ def date(c: Column) -> Column:
     """A timestamp (UTC) of a sanitised text, day first; numbers from 20000 to 80000 are Excel serials; else null."""
     out = []
     for shape, formats in _FORMATS:
-        words = re.search("[A-Za-z]{3}", shape)
+        words = "MMM" in formats[0]
         timed = "H" in formats[0] or "h" in formats[0]
         text = F.regexp_replace(c, " ", "-") if words else c if "yyyy-M-d " in formats[0] or "'T'" in formats[0] or "yyyyMMdd" in formats[0] else F.regexp_replace(c, r"[/.]", "-")
         text = F.initcap(F.regexp_replace(text, "-", " ")) if words else text
