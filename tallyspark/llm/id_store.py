@@ -34,21 +34,39 @@ _PLAIN = re.compile(r"[\x00-\x1b !-\x7e¡-©«-´¶-¹»-ÿ]*").fullmatch
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0d a-zß-öø-ÿ0-9]+").findall
 
 
+class _Known(dict):
+    """Ids of what stands between white space, remembered."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        ids = b"".join(map(self.encoder.piece, _PIECES(word)))
+        if len(word) <= 64:
+            if len(self) >= Encoder.MEMORY:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer file; word by word with a memory where the file's rules allow it.
 
     The word vocabulary normalises (NFC, white space, lower case), cuts words by a pattern and merges within a word only. For texts
-    of ASCII and Latin-1 letters those steps are done here and each word is encoded by the library once;
+    of ASCII and Latin-1 letters those steps are done here and each word is merged by the library's model once;
     all other texts, and any other kind of vocabulary, go through the library whole.
     """
 
-    MEMORY = 300_000
+    MEMORY = 200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.alphabet = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.known, self.pieces = _Known(self), {}
         tests = ("It's THE end's, we'll x1234 (Ärger)ÀÉ!\n\tça?? 'm a'", "a  b\n\n12 ab'll'd ##!! |x|", "É§x naïve øre ÷×")
         self.by_word = all(self._words(t) == self._whole(t) for t in tests)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -57,15 +75,17 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _words(self, text: str) -> bytes:
-        words = _PIECES(text.lower())
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > self.MEMORY:
-                self.known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, text.lower().split()))
+
+    def piece(self, word: str) -> bytes:
+        ids = self.pieces.get(word)
+        if ids is None:
+            if len(self.pieces) >= self.MEMORY:
+                self.pieces.clear()
+            shown = word if word.isascii() else self.alphabet(word)[0][0]
+            found = [t.id for t in self.merge(shown)]
+            ids = self.pieces[word] = struct.pack(f"<{len(found)}I", *found)
+        return ids
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
@@ -154,9 +174,15 @@ def write_shards(docs: DataFrame, path: str, out: str, end: int = END, range_row
     def frames(batches):
         to_ids, last = encoder(path), np.array([end], "<u4").tobytes()
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value) if shared.value else None, write_content_size=True).compress
-        for b in batches:
-            ids = [to_ids(t.as_py()) + last for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([squeeze(x) for x in ids], pa.binary())], names=["part", "doc_id", "n", "frame"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                n, out = [], []
+                for t in b.column(2):
+                    ids = to_ids(t.as_py()) + last
+                    n.append(len(ids) // 4)
+                    out.append(squeeze(ids))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["part", "doc_id", "n", "frame"])
 
     def shards(batches):
         part, number, size, held = None, 0, 0, []
