@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Share of candidate merges that are skipped, the key, and how many segmentations of a word a corpus has at most.
-DROPOUT, SEED, VARIANTS = 0.1, 7, 2
+DROPOUT, SEED, VARIANTS = 0.1, 7, 4
 SPACE = "▁"
 
 
@@ -99,7 +99,9 @@ class Codec:
             if a is None or b is None or after[i] != j or len(a) + len(b) != len(piece):
                 continue
             if limit:
-                if ((key ^ (i << 12 | j << 6 ^ len(piece))) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32 < limit:
+                h = (key ^ ((i << 40 | j << 20 | len(piece)) * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
+                h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+                if h >> 32 < limit:
                     continue
             symbols[i], symbols[j] = piece, None
             z = after[i] = after[j]
