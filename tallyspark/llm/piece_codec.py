@@ -1,7 +1,7 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 The model file gives pieces with scores; nothing is trained. A text is escaped (spaces to U+2581, one put before it) and
-cut into units that no piece of the vocabulary crosses. Within a unit an agenda holds the candidate merges, best
+cut into units that no piece of the vocabulary crosses. Units of one length are merged together in arrays, a row each. Within a unit an agenda holds the candidate merges, best
 score first, leftmost first among equals; a popped candidate is skipped for good if a hash keyed by the seed, the document's
 variant, the unit and the candidate's place falls below the dropout rate. Characters outside the vocabulary, and
 U+2581 itself, become byte pieces, so decoding gives every text back exactly.
@@ -13,32 +13,45 @@ import heapq
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Share of candidate merges that are skipped, the key, and how many segmentations of a word a corpus has at most.
 DROPOUT, SEED, VARIANTS = 0.1, 7, 4
+#: Characters of texts that are encoded together, of a unit that is merged among others, and the fewest units of one length for that.
+TOGETHER, LONG, FEW = 1 << 22, 64, 12
 SPACE = "▁"
 
 
-class _Words(dict):
-    """Ids of a word of one variant, remembered."""
+class _Memory:
+    """What `make` gives for keys, remembered in two generations: when the young one is full it becomes the old one, so keys in use stay."""
 
-    def __init__(self, codec: Codec, v: int):
-        self.codec, self.v, self.most = codec, v, Codec.MEMORY // codec.variants
+    def __init__(self, make: Callable[[list[str]], list[bytes]], most: int):
+        self.make, self.most = make, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.codec._units_of(word if word[0] == "\n" else SPACE + word, self.v)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
+    def of(self, keys: set[str]) -> dict[str, bytes]:
+        """A dictionary that has all keys."""
+        new = keys.difference(self.young)
+        if len(self.young) + len(new) > self.most:
+            self.old, self.young, new = self.young, {}, keys
+        old = self.old
+        self.young.update((k, old[k]) for k in new if k in old)
+        new = list(new.difference(old))
+        made = dict(zip(new, self.make(new), strict=True))
+        if any(len(k) > LONG for k in new):  # not remembered
+            self.young.update((k, x) for k, x in made.items() if len(k) <= LONG)
+            return {**self.young, **made}
+        self.young.update(made)
+        return self.young
 
 
 class Codec:
@@ -67,10 +80,29 @@ class Codec:
                 self.pieces[i] = piece.replace(SPACE, " ").encode()
         self.number = {p: np.array([i], "<u4").tobytes() for p, i in self.ids.items()}
         self.units = re.compile(self._pattern()).findall
-        self.known: dict[tuple[int, str], bytes] = {}
         # words between single spaces (a line break begins a word) are units by themselves if no piece holds a line break
         self.by_word = len(self._pattern()) > 6 and not any("\n" in p for p in self.ids)
-        self.words = [_Words(self, v) for v in range(variants)]
+        most = self.MEMORY // variants
+        self.merged = [_Memory(lambda units, v=v: self._merge_all(units, v), most) for v in range(variants)]
+        self.words = [_Memory(lambda words, v=v: self._words(words, v), most) for v in range(variants)]
+        self._tables()
+
+    def _tables(self) -> None:
+        """Arrays for merging many units at once: pieces by number, pairs of pieces in ascending order and what they make."""
+        names = list(self.ids)
+        number = {p: k for k, p in enumerate(names)}
+        self.vocabulary_id = np.array([self.ids[p] for p in names], "<u4")
+        self.rank = np.array([*(self.order[p] for p in names), np.inf])  # the last one: no piece
+        self.length = np.array([len(p) for p in names], np.uint64)
+        self.letter = np.full(0x110000, -1, np.int32)
+        for p, k in number.items():
+            if len(p) == 1:
+                self.letter[ord(p)] = k
+        pairs = [(number[p[:c]], number[p[c:]], k) for p, k in number.items() for c in range(1, len(p)) if p[:c] in number and p[c:] in number]
+        left, right, makes = np.array(pairs, np.int64).reshape(-1, 3).T
+        key = left * len(names) + right
+        at = np.argsort(key)
+        self.pair, self.makes = np.append(key[at], np.iinfo(np.int64).max), np.append(makes[at], -1)
 
     def _pattern(self) -> str:
         """Units: runs of characters between which some piece may reach."""
@@ -121,38 +153,92 @@ class Codec:
         number = self.number
         return b"".join([number[s] if s in number else b"".join([self.bytes[x] for x in s.encode("utf-8", "surrogatepass")]) for s in symbols])
 
+    def _key(self, unit: str, v: int) -> int:
+        return xxhash.xxh3_64_intdigest(f"{self.seed}:{v}:{unit}".encode("utf-8", "surrogatepass"))
+
+    def _piece(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two pieces make, -1 if none."""
+        key = left.astype(np.int64) * len(self.vocabulary_id) + right
+        at = np.searchsorted(self.pair, key)
+        return np.where(self.pair[at] == key, self.makes[at], -1)
+
+    def _merge_all(self, units: list[str], v: int) -> list[bytes]:
+        """Ids of units: those of one length merged together, long, few or odd ones (characters outside the vocabulary) one by one."""
+        out: dict[str, bytes] = {}
+        for n, group in groupby(sorted(units, key=len), len):
+            same = list(group)
+            if 1 < n <= LONG and len(same) >= FEW:
+                chars = np.frombuffer("".join(same).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)
+                first = self.letter[chars]
+                plain = (first >= 0).all(axis=1)
+                some = [u for u, ok in zip(same, plain.tolist(), strict=True) if ok]
+                if some:
+                    out.update(zip(some, self._agendas(first[plain], np.array([self._key(u, v) for u in some], np.uint64)), strict=True))
+        return [out[u] if u in out else self._merge(u, self._key(u, v)) for u in units]
+
+    def _agendas(self, symbol: np.ndarray, keys: np.ndarray) -> list[bytes]:
+        """As _merge, over a unit in each row: a row's agenda is the rank of what each symbol and its next one make."""
+        rows, n = symbol.shape
+        symbol = symbol.astype(np.int64)
+        after, before = np.tile(np.arange(1, n + 1), (rows, 1)), np.tile(np.arange(-1, n - 1), (rows, 1))
+        piece = np.full((rows, n), -1)
+        piece[:, :-1] = self._piece(symbol[:, :-1], symbol[:, 1:])
+        agenda = self.rank[piece]
+        r = np.arange(rows)
+        while len(r):
+            i = agenda[r].argmin(axis=1)
+            live = agenda[r, i] < np.inf
+            r, i = r[live], i[live]
+            j, p = after[r, i], piece[r, i]
+            agenda[r, i] = np.inf
+            place = i.astype(np.uint64) << np.uint64(40) | j.astype(np.uint64) << np.uint64(20) | self.length[p]
+            h = keys[r] ^ (place * np.uint64(0x9E3779B97F4A7C15))
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            take = (h >> np.uint64(32)) >= np.uint64(self.limit)
+            a, i, j, p = r[take], i[take], j[take], p[take]
+            symbol[a, i], symbol[a, j], agenda[a, j] = p, -1, np.inf
+            z, y = after[a, j], before[a, i]
+            after[a, i] = z
+            for has, left, right, at in ((z < n, i, z, i), (y >= 0, y, i, y)):
+                b, at = a[has], at[has]
+                if right is z:
+                    before[b, z[has]] = i[has]
+                made = self._piece(symbol[b, left[has]], symbol[b, right[has]])
+                piece[b, at], agenda[b, at] = made, self.rank[made]
+        left = symbol >= 0
+        ids = self.vocabulary_id[symbol[left]].tobytes()
+        ends = (4 * np.cumsum(left.sum(axis=1))).tolist()
+        return [ids[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+
     def variant(self, doc_id: int | None) -> int:
         return zlib.crc32(f"{self.seed}:{doc_id}".encode()) % self.variants
 
-    def _units_of(self, escaped: str, v: int) -> bytes:
-        known, out = self.known, []
-        for u in self.units(escaped):
-            ids = known.get((v, u))
-            if ids is None:
-                if len(known) >= self.MEMORY:
-                    known.clear()
-                ids = self._merge(u, xxhash.xxh3_64_intdigest(f"{self.seed}:{v}:{u}"))
-                if len(u) <= 64:
-                    known[v, u] = ids
-            out.append(ids)
-        return b"".join(out)
+    def _joined(self, texts: list[list[str]], memory: _Memory) -> list[bytes]:
+        get = memory.of(set().union(*texts)).__getitem__
+        return [b"".join(map(get, t)) for t in texts]
+
+    def _words(self, words: list[str], v: int) -> list[bytes]:
+        return self._joined([[SPACE + w] if w.isalpha() else self.units(w if w[0] == "\n" else SPACE + w) for w in words], self.merged[v])
+
+    def encode_all(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes]:
+        """Ids of each text as little-endian u32."""
+        out = [b""] * len(texts)
+        for v, group in groupby(sorted((self.variant(d), k) for k, d in enumerate(doc_ids) if texts[k]), lambda x: x[0]):
+            fast, odd = [], []
+            for _, k in group:
+                spaced = texts[k].replace("\n", " \n")
+                by_word = self.by_word and SPACE not in spaced and "  " not in spaced and spaced[0] != " " and spaced[-1] != " "
+                (fast if by_word else odd).append(k)
+            for k, ids in zip(fast, self._joined([texts[k].replace("\n", " \n").split(" ") for k in fast], self.words[v]), strict=True):
+                out[k] = ids
+            for k in odd:
+                parts = texts[k].split(SPACE)
+                cut = [self.units((SPACE if not q else "") + part.replace(" ", SPACE)) for q, part in enumerate(parts)]
+                out[k] = b"".join(self.bytes[x] for x in SPACE.encode()).join(self._joined(cut, self.merged[v]))
+        return out
 
     def encode(self, text: str | None, doc_id: int | None = None) -> bytes:
-        """Ids as little-endian u32."""
-        if not text:
-            return b""
-        v = self.variant(doc_id)
-        if self.by_word and SPACE not in text:
-            spaced = text.replace("\n", " \n")
-            if "  " not in spaced and spaced[0] != " " and spaced[-1] != " ":
-                return b"".join(map(self.words[v].__getitem__, spaced.split(" ")))
-        out = []
-        for k, part in enumerate(text.split(SPACE)):
-            if k:
-                out.extend(self.bytes[x] for x in SPACE.encode())
-            escaped = part.replace(" ", SPACE)
-            out.append(self._units_of(escaped if k else SPACE + escaped, v))
-        return b"".join(out)
+        return self.encode_all([text], [doc_id])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
@@ -178,13 +264,13 @@ def encode_documents(docs: DataFrame, path: str, dropout: float = DROPOUT, seed:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, dropout, seed, variants)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                out, intact = [], []
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    ids = c.encode(text, doc_id)
-                    out.append(ids)
-                    intact.append(c.decode(np.frombuffer(ids, "<u4")) == (text or ""))
+            sizes, at = np.cumsum([x or 0 for x in pc.binary_length(whole.column(1)).to_pylist()]), 0
+            while at < whole.num_rows:
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER, "right")))
+                b, at = whole.slice(at, end - at), end
+                texts = b.column(1).to_pylist()
+                out = c.encode_all(texts, b.column(0).to_pylist())
+                intact = [c.decode(np.frombuffer(ids, "<u4")) == (text or "") for ids, text in zip(out, texts, strict=True)]
                 n = np.array([len(x) // 4 for x in out], np.int64)
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))

@@ -107,6 +107,21 @@ def test_pieces_equal_library_without_dropout_and_decode_with_it(spark, docs):
     assert len(out) == docs.count() and all(r["intact"] and r["n_tokens"] == len(r["ids"]) for r in out)
 
 
+def test_units_merged_together_equal_units_merged_alone():
+    c, rng = piece_codec.Codec(vocabulary(PIECE_VOCABULARY), 0.2), random.Random(5)
+    units = list({"".join(rng.choice("▁aeinrstdlou") for _ in range(rng.randint(1, 12))) for _ in range(3000)} | {"☃" * 3, "a☃b", "x" * 200})
+    for v in range(2):
+        assert c._merge_all(units, v) == [c._merge(u, c._key(u, v)) for u in units]
+
+
+def test_pieces_do_not_depend_on_what_is_remembered():
+    path, texts = vocabulary(PIECE_VOCABULARY), [" ".join(random.Random(i).choices(WORDS, k=40)) + f" odd{i} " + "y" * 70 for i in range(60)]
+    c = piece_codec.Codec(path)
+    for m in (*c.words, *c.merged):
+        m.most = 20
+    assert [c.encode(t, i) for i, t in enumerate(texts)] == piece_codec.Codec(path).encode_all(texts, list(range(60)))
+
+
 PAGE = """<html><head><title>t</title><script>x="</p>"</script></head><body><nav><ul><li>Home</ul></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Head {0}</h1><p><b>One&amp;two   {0}<br>three<p>Second &lt;p&gt; {0}<div class=ad>Buy</div><form><input><button>Go</button></form></article>
 <section id=comments><p>I disagree {0}</p></section><aside>Side</aside><footer>&copy; f</footer>"""
