@@ -13,8 +13,8 @@ import heapq
 import re
 import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterable, Iterator
+from itertools import compress, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ SPACE = "▁"
 class _Memory:
     """What `make` gives for keys, remembered in two generations: when the young one is full it becomes the old one, so keys in use stay."""
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], most: int):
+    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int):
         self.make, self.most = make, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -57,7 +57,7 @@ class _Memory:
 class Codec:
     """Encodes and decodes with one model file."""
 
-    MEMORY = 400_000
+    MEMORY = 800_000
 
     def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         import sentencepiece
@@ -82,9 +82,7 @@ class Codec:
         self.units = re.compile(self._pattern()).findall
         # words between single spaces (a line break begins a word) are units by themselves if no piece holds a line break
         self.by_word = len(self._pattern()) > 6 and not any("\n" in p for p in self.ids)
-        most = self.MEMORY // variants
-        self.merged = [_Memory(lambda units, v=v: self._merge_all(units, v), most) for v in range(variants)]
-        self.words = [_Memory(lambda words, v=v: self._words(words, v), most) for v in range(variants)]
+        self.words = [_Memory(lambda words, v=v: self._words(words, v), self.MEMORY // variants) for v in range(variants)]
         self._tables()
 
     def _tables(self) -> None:
@@ -153,8 +151,9 @@ class Codec:
         number = self.number
         return b"".join([number[s] if s in number else b"".join([self.bytes[x] for x in s.encode("utf-8", "surrogatepass")]) for s in symbols])
 
-    def _key(self, unit: str, v: int) -> int:
-        return xxhash.xxh3_64_intdigest(f"{self.seed}:{v}:{unit}".encode("utf-8", "surrogatepass"))
+    def _key(self, v: int) -> int:
+        """Seed of the hash of a variant's units."""
+        return xxhash.xxh3_64_intdigest(f"{self.seed}:{v}")
 
     def _piece(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two pieces make, -1 if none."""
@@ -162,19 +161,24 @@ class Codec:
         at = np.searchsorted(self.pair, key)
         return np.where(self.pair[at] == key, self.makes[at], -1)
 
-    def _merge_all(self, units: list[str], v: int) -> list[bytes]:
-        """Ids of units: those of one length merged together, long, few or odd ones (characters outside the vocabulary) one by one."""
-        out: dict[str, bytes] = {}
+    def _merge_all(self, units: Iterable[str], v: int) -> dict[str, bytes]:
+        """Ids of different units: those of one length merged together, long, few or odd ones (characters outside the vocabulary) one by one."""
+        out, alone, seed, digest = {}, [], self._key(v), xxhash.xxh3_64_intdigest
         for n, group in groupby(sorted(units, key=len), len):
             same = list(group)
             if 1 < n <= LONG and len(same) >= FEW:
-                chars = np.frombuffer("".join(same).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)
-                first = self.letter[chars]
+                first = self.letter[np.frombuffer("".join(same).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)]
                 plain = (first >= 0).all(axis=1)
-                some = [u for u, ok in zip(same, plain.tolist(), strict=True) if ok]
-                if some:
-                    out.update(zip(some, self._agendas(first[plain], np.array([self._key(u, v) for u in some], np.uint64)), strict=True))
-        return [out[u] if u in out else self._merge(u, self._key(u, v)) for u in units]
+                if not plain.all():
+                    alone += compress(same, ~plain)
+                    same, first = list(compress(same, plain)), first[plain]
+                for at in range(0, len(same), 8192):  # rows that stay in the processor's memory
+                    some = same[at : at + 8192]
+                    out.update(zip(some, self._agendas(first[at : at + 8192], np.array([digest(u, seed) for u in some], np.uint64)), strict=True))
+            else:
+                alone += same
+        out.update((u, self._merge(u, digest(u.encode("utf-8", "surrogatepass"), seed))) for u in alone)
+        return out
 
     def _agendas(self, symbol: np.ndarray, keys: np.ndarray) -> list[bytes]:
         """As _merge, over a unit in each row: a row's agenda is the rank of what each symbol and its next one make."""
@@ -213,28 +217,31 @@ class Codec:
     def variant(self, doc_id: int | None) -> int:
         return zlib.crc32(f"{self.seed}:{doc_id}".encode()) % self.variants
 
-    def _joined(self, texts: list[list[str]], memory: _Memory) -> list[bytes]:
-        get = memory.of(set().union(*texts)).__getitem__
-        return [b"".join(map(get, t)) for t in texts]
-
-    def _words(self, words: list[str], v: int) -> list[bytes]:
-        return self._joined([[SPACE + w] if w.isalpha() else self.units(w if w[0] == "\n" else SPACE + w) for w in words], self.merged[v])
+    def _words(self, words: list[str], v: int) -> Iterator[bytes]:
+        """Ids of words; a word of letters is one unit."""
+        cut = [SPACE + w if w.isalpha() else self.units(w if w[0] == "\n" else SPACE + w) for w in words]
+        units = {u for u in cut if type(u) is str}.union(*(u for u in cut if type(u) is list))
+        ids = self._merge_all(units, v).__getitem__
+        return (ids(u) if type(u) is str else b"".join(map(ids, u)) for u in cut)
 
     def encode_all(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes]:
         """Ids of each text as little-endian u32."""
         out = [b""] * len(texts)
         for v, group in groupby(sorted((self.variant(d), k) for k, d in enumerate(doc_ids) if texts[k]), lambda x: x[0]):
-            fast, odd = [], []
+            fast: dict[int, list[str]] = {}
+            odd: dict[int, list[list[str]]] = {}
             for _, k in group:
                 spaced = texts[k].replace("\n", " \n")
-                by_word = self.by_word and SPACE not in spaced and "  " not in spaced and spaced[0] != " " and spaced[-1] != " "
-                (fast if by_word else odd).append(k)
-            for k, ids in zip(fast, self._joined([texts[k].replace("\n", " \n").split(" ") for k in fast], self.words[v]), strict=True):
-                out[k] = ids
-            for k in odd:
-                parts = texts[k].split(SPACE)
-                cut = [self.units((SPACE if not q else "") + part.replace(" ", SPACE)) for q, part in enumerate(parts)]
-                out[k] = b"".join(self.bytes[x] for x in SPACE.encode()).join(self._joined(cut, self.merged[v]))
+                if self.by_word and SPACE not in spaced and "  " not in spaced and spaced[0] != " " and spaced[-1] != " ":
+                    fast[k] = spaced.split(" ")
+                else:
+                    odd[k] = [self.units((SPACE if not q else "") + part.replace(" ", SPACE)) for q, part in enumerate(texts[k].split(SPACE))]
+            ids = self.words[v].of(set().union(*fast.values())).__getitem__
+            for k, words in fast.items():
+                out[k] = b"".join(map(ids, words))
+            ids = self._merge_all(set().union(*(u for parts in odd.values() for u in parts)), v).__getitem__
+            for k, parts in odd.items():
+                out[k] = b"".join(self.bytes[x] for x in SPACE.encode()).join(b"".join(map(ids, units)) for units in parts)
         return out
 
     def encode(self, text: str | None, doc_id: int | None = None) -> bytes:
