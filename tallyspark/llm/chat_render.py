@@ -41,6 +41,18 @@ def marked_turns(turns: list[Turn]) -> str:
     return "".join(f"<|turn|>{t['role'].translate(_ROLE)}\n{escape(t['text'])}<|end|>\n" for t in turns)
 
 
+def remembering() -> Template:
+    """marked_turns for the prefixes of one conversation: each turn's part is made once."""
+    parts: dict[tuple[str, str], str] = {}
+
+    def template(turns: list[Turn]) -> str:
+        for t in turns[-1:]:
+            parts.setdefault((t["role"], t["text"]), marked_turns([t]))
+        return "".join([parts[t["role"], t["text"]] for t in turns])
+
+    return template
+
+
 _MARKED = re.compile(r"<\|turn\|>([^\n]*)\n(.*?)<\|end\|>\n", re.S)
 
 
@@ -84,9 +96,12 @@ def render(turns: list[Turn], template: Template) -> Rendered:
             break
         # white space is where templates trim, so probes have none, and differ from their first character to the last
         one, two = (template([*turns[:k], {**turn, "text": x}]) for x in ("AxA", "ByB"))
-        start = _common(one, two)
-        tail = _common(one[::-1], two[::-1])
-        if not one.startswith(before) or start < len(before) or one[start : len(one) - tail] != "AxA":
+        if not (one.startswith(before) and two.startswith(before)):
+            result.rewrites = True
+            break
+        start = len(before) + _common(one[len(before) :], two[len(before) :])
+        tail = _common(one[start:][::-1], two[start:][::-1])
+        if one[start : len(one) - tail] != "AxA":
             result.rewrites = True
             break
         result.spans.append((len(before), len(now)))
@@ -114,7 +129,7 @@ _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64
 
 
 def _formatted(conv_id: int | None, turns: list[Turn]) -> tuple:
-    r = render(turns, marked_turns)
+    r = render(turns, remembering())
     back = parse_marked(r.text)
     loss = loss_text(r, turns)
     flat = [x for span in r.slots for x in span]
