@@ -48,7 +48,8 @@ def remembering() -> Template:
     def template(turns: list[Turn]) -> str:
         for t in turns[-1:]:
             parts.setdefault((t["role"], t["text"]), marked_turns([t]))
-        return "".join([parts[t["role"], t["text"]] for t in turns])
+        found = [parts.get((t["role"], t["text"])) for t in turns]
+        return marked_turns(turns) if None in found else "".join(found)
 
     return template
 
