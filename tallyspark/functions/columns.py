@@ -1,8 +1,13 @@
-"""Column builders for messy text: sanitising, amounts, currencies, dates, identifiers, enums. All run inside Spark's code generation."""
+"""Column builders for messy text: sanitising, amounts, currencies, dates, identifiers, enums. All are built-in functions.
+
+A value that an expression uses more than once is bound by let(), so that it is computed once a row: written out, the same regular
+expressions would be repeated in every branch, and the generated code would be too large to be compiled.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +35,11 @@ def dedupe(names: list[str], taken: tuple[str, ...] = ()) -> list[str]:
     return out
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c computed once."""
+    return F.transform(F.array(c), f)[0]
+
+
 def is_blank(c: Column) -> Column:
     """Null, white space, nan or none."""
     return F.coalesce(F.lower(F.trim(c)).isin("", "nan", "none"), F.lit(True))
@@ -39,15 +49,17 @@ def sanitize(c: Column, upper: bool = False) -> Column:
     """Invisible characters out, quotes to ASCII, white space collapsed, null tokens to null."""
     c = F.translate(F.regexp_replace(c, _HIDDEN, ""), "‘’“”", "''\"\"")
     c = F.trim(F.regexp_replace(c, r"\s+", " "))
-    c = F.when(~F.lower(c).isin(NULL_TOKENS), c)
-    return F.upper(c) if upper else c
+    return let(c, lambda x: F.when(~F.lower(x).isin(NULL_TOKENS), F.upper(x) if upper else x))
 
 
 def currency(c: Column) -> Column:
     """The first three-letter word if it is an ISO code, else the first known symbol in the text, else RS as INR, else null."""
-    up, low = F.upper(c), F.lower(c)
-    word = F.regexp_extract(up, r"\b([A-Z]{3})\b", 1)
-    return F.coalesce(F.when(word.isin(ISO_CODES), word), *[F.when(low.contains(s), F.lit(code)) for s, code in SYMBOLS], F.when(up.contains("RS"), F.lit("INR")))
+
+    def found(x: Column) -> Column:
+        word = let(F.regexp_extract(x["up"], r"\b([A-Z]{3})\b", 1), lambda w: F.when(w.isin(ISO_CODES), w))
+        return F.coalesce(word, *[F.when(x["low"].contains(s), F.lit(code)) for s, code in SYMBOLS], F.when(x["up"].contains("RS"), F.lit("INR")))
+
+    return let(F.struct(F.upper(c).alias("up"), F.lower(c).alias("low")), found)
 
 
 def amount(c: Column) -> Column:
@@ -56,24 +68,37 @@ def amount(c: Column) -> Column:
     The last of mixed separators is the decimal one; a comma alone is decimal before exactly two digits. Brackets or a
     leading minus negate. failed: digits, but no number. Without digits all is null and not failed.
     """
-    bare = F.trim(F.regexp_replace(F.regexp_replace(c, r"\b[Rr][Ss]\b\.?", ""), r"\b[A-Za-z]{3}\b|[₹$€£]", ""))
-    negative = (bare.startswith("(") & bare.endswith(")")) | bare.startswith("-")
-    t = F.regexp_replace(bare, r"[^0-9,.]", "")
+    return let(c, _amount)
+
+
+def _number(t: Column) -> Column:
     comma, dot = t.contains(","), t.contains(".")
     dot_last = F.locate(".", F.reverse(t)) < F.locate(",", F.reverse(t))
-    number = (
+    return (
         F.when(comma & dot, F.when(dot_last, F.regexp_replace(t, ",", "")).otherwise(F.translate(F.regexp_replace(t, r"\.", ""), ",", ".")))
         .when(comma, F.when(t.rlike(r",\d{2}$"), F.regexp_replace(F.regexp_replace(t, r",(?=\d{2}$)", "."), ",", "")).otherwise(F.regexp_replace(t, ",", "")))
         .when(t.rlike(r"\.\d{3}\.\d{2}$"), F.regexp_replace(t, r"\.(?!\d{2}$)", ""))
         .otherwise(t)
     )
-    value = number.try_cast("double")
-    digits = F.coalesce(t.rlike(r"\d"), F.lit(False))
-    return F.struct(
-        F.when(digits, F.when(negative, -value).otherwise(value)).alias("amount"),
-        F.when(digits, currency(c)).alias("currency"),
-        (digits & value.isNull()).alias("failed"),
-    )
+
+
+def _amount(c: Column) -> Column:
+    def parts(bare: Column) -> Column:
+        negative = (bare.startswith("(") & bare.endswith(")")) | bare.startswith("-")
+        return F.struct(negative.alias("negative"), F.regexp_replace(bare, r"[^0-9,.]", "").alias("t"))
+
+    def read(x: Column) -> Column:
+        return F.struct(x["negative"].alias("negative"), F.coalesce(x["t"].rlike(r"\d"), F.lit(False)).alias("digits"), _number(x["t"]).try_cast("double").alias("value"))
+
+    def result(x: Column) -> Column:
+        return F.struct(
+            F.when(x["digits"], F.when(x["negative"], -x["value"]).otherwise(x["value"])).alias("amount"),
+            F.when(x["digits"], currency(c)).alias("currency"),
+            (x["digits"] & x["value"].isNull()).alias("failed"),
+        )
+
+    bare = F.trim(F.regexp_replace(F.regexp_replace(c, r"\b[Rr][Ss]\b\.?", ""), r"\b[A-Za-z]{3}\b|[₹$€£]", ""))
+    return let(let(let(bare, parts), read), result)
 
 
 # (a shape of the text, formats to try for it): the order is day first, then month first
@@ -96,7 +121,13 @@ _FORMATS = [
 
 def date(c: Column) -> Column:
     """A timestamp (UTC) of a sanitised text, day first; numbers from 20000 to 80000 are Excel serials; else null."""
-    out = []
+    return let(c, _date)
+
+
+def _date(c: Column) -> Column:
+    """The first shape that fits decides; no text fits two of them."""
+    serial = let(c.try_cast("double"), lambda x: F.when((x >= 20000) & (x <= 80000), F.timestamp_seconds(F.round((x - 25569) * 86400, 0))))
+    out = F.when(c.rlike(r"^\d{5}(\.\d+)?$"), serial)
     for shape, formats in _FORMATS:
         words = "MMM" in formats[0]
         timed = "H" in formats[0] or "h" in formats[0]
@@ -106,11 +137,8 @@ def date(c: Column) -> Column:
             formats = [f.replace("-", " ") for f in formats]
         if timed and "yyyy-M-d " in formats[0]:
             text = F.regexp_replace(c, "T", " ")
-        for f in formats:
-            out.append(F.when(c.rlike(shape), F.try_to_timestamp(text, F.lit(f))))
-    serial = F.when(c.rlike(r"^\d{5}(\.\d+)?$"), c.try_cast("double"))
-    excel = F.when((serial >= 20000) & (serial <= 80000), F.timestamp_seconds(F.round((serial - 25569) * 86400, 0)))
-    return F.coalesce(*out, excel)
+        out = out.when(c.rlike(shape), F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]))
+    return out
 
 
 def identifier(c: Column, null_token: str | None = None) -> Column:
@@ -123,9 +151,12 @@ def identifier(c: Column, null_token: str | None = None) -> Column:
 def enum(c: Column, field: str) -> Column:
     """Known synonyms by their meaning, else collapsed and upper-cased; null tokens are null."""
     c = F.trim(F.regexp_replace(c, r"\s+", " "))
-    c = F.when(~F.lower(c).isin(NULL_TOKENS), c)
     known = SYNONYMS.get(field, {})
-    return F.coalesce(*[F.when(F.lower(c) == k, F.lit(v)) for k, v in known.items()], F.upper(c))
+
+    def meaning(x: Column) -> Column:
+        return let(F.lower(x), lambda low: F.when(~low.isin(NULL_TOKENS), F.coalesce(*[F.when(low == k, F.lit(v)) for k, v in known.items()], F.upper(x))))
+
+    return let(c, meaning)
 
 
 def match_id(c: Column) -> Column:

@@ -62,7 +62,7 @@ def catalog(df: DataFrame, config: C.Config = C.Config()) -> list[Rule]:
         rules += [
             ("null_density_high", empty >= F.lit(config.null_density * len(cells)), 1),
             ("placeholder_value", F.exists(F.array(*cells), lambda x: yes(F.upper(F.trim(x)).isin(C.PLACEHOLDERS))), 2),
-            ("unicode_replacement", F.exists(F.array(*cells), lambda x: yes(x.contains("�"))), 2),
+            ("unicode_replacement", F.concat_ws(" ", *cells).contains("�"), 2),
         ]
     return rules
 
@@ -77,10 +77,12 @@ def count_ids(df: DataFrame, file: str = "source_file_name") -> DataFrame:
 
 def validate(df: DataFrame, config: C.Config = C.Config()) -> DataFrame:
     """validation_rank, validation_severity, validation_status, validation_rule_triggered beside the feed's columns."""
-    rules = catalog(df, config)
-    rank = F.greatest(*[F.when(c, r).otherwise(0) for _, c, r in rules], F.lit(0))
-    names = F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c, _ in rules]))), "|")
-    df = df.withColumns({"validation_rank": rank, "validation_rule_triggered": names})
+    # each condition stands once in the plan: generated code stays small enough to be compiled
+    hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("name"), F.lit(r).alias("rank"))) for n, c, r in sorted(catalog(df, config), key=lambda x: x[0])]))
+    df = df.withColumn("_hits", hits)
+    rank = F.coalesce(F.array_max(F.transform("_hits", lambda x: x["rank"])), F.lit(0))
+    names = F.array_join(F.transform("_hits", lambda x: x["name"]), "|")
+    df = df.withColumns({"validation_rank": rank, "validation_rule_triggered": names}).drop("_hits")
     return df.withColumns({"validation_severity": F.concat(F.lit("S"), F.col("validation_rank")), "validation_status": F.when(F.col("validation_rank") == 0, "VALID").when(F.col("validation_rank") >= config.reject_from, "REJECTED").otherwise("WARNING")})
 
 
