@@ -137,7 +137,10 @@ def test_main_text(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in out)
 
 
-def test_template_texts_leave_unmarked_pages(spark):
+@pytest.mark.parametrize("buckets, each", [(64, 4096), (2, 100)])  # the second: a host too large for its buckets
+def test_template_texts_leave_unmarked_pages(spark, monkeypatch, buckets, each):
+    monkeypatch.setattr(wrapper_html, "BUCKETS", buckets)
+    monkeypatch.setattr(wrapper_html, "BUCKET_PAGES", each)
     page = "<body><div><p>Same words on each page of it</p><div><p>Body {0} of page {0} with its own long text {0}</p><p>And more {0} {0}</p></div></div></body>"
     rows = [(i, "http://t.example/", page.format(i)) for i in range(400)]
     out = wrapper_html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
