@@ -70,7 +70,7 @@ def schedule(docs: DataFrame, block: int = BLOCK, period: int = PERIOD, temper:
     units = stash(shares(parts.groupBy("source").agg(F.sum("n").alias("n")), period, temper), "mix-units")
     slots = stash(period_schedule(units).join(units, "source"), "mix-slots")
 
-    blocks = F.expr(f"(n + {block - 1}) DIV {block}")  # of a source, the last one perhaps short: the mix ends where one is used up
+    blocks = F.expr(f"(n + {block - 1}) DIV {block}")  # of a source, the last one perhaps short: all shares hold until one is used up
     ends = units.select("source", blocks.alias("done"), "units", "span")
     ends = ends.join(slots.select("source", "k", "slot"), "source").where(F.expr("k = done % units"))
     end = ends.agg(F.min(F.expr("(done DIV units) * span + slot")).alias("end"))
@@ -89,13 +89,14 @@ def schedule(docs: DataFrame, block: int = BLOCK, period: int = PERIOD, temper:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are in the mix, with all columns, laid out in the order of the schedule.
+    """All rows of docs, with all columns, laid out in the order of the schedule.
 
-    Output files hold ranges of slots in ascending order. Rows that repeat a (doc_id, source) share their first rank.
+    Output files hold ranges of slots in ascending order. A source that is used up leaves its slots empty, so the sources left
+    follow each other in the proportion of their weights. Rows that repeat a (doc_id, source) share their first rank.
     """
     slot, rank, did, src = fresh(docs, "mix_slot", "mix_rank", "mix_doc", "mix_source")
-    plan = schedule(docs, **options).groupBy("doc_id", "source").agg(F.min("slot").alias(slot), F.min("rank").alias(rank), F.max("in_mix").alias("in_mix"))
-    plan = stash(plan.where("in_mix").select(F.col("doc_id").alias(did), F.col("source").alias(src), slot, rank), "mix-plan")
+    plan = schedule(docs, **options).groupBy("doc_id", "source").agg(F.min("slot").alias(slot), F.min("rank").alias(rank))
+    plan = stash(plan.select(F.col("doc_id").alias(did), F.col("source").alias(src), slot, rank), "mix-plan")
     out = docs.join(plan, docs["doc_id"].eqNullSafe(plan[did]) & docs["source"].eqNullSafe(plan[src]))
     return out.repartitionByRange(F.col(slot)).sortWithinPartitions(slot, rank).select([docs[c] for c in docs.columns])
 

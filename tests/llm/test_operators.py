@@ -94,6 +94,16 @@ def test_mix_keeps_columns(docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_goes_on_after_a_source_is_used_up(spark):
+    sizes = {"tiny": 10, "hot": 3000, "a": 600, "b": 600, None: 1}
+    rows = [(f"{s}{i}", s) for s, n in sizes.items() for i in range(n)]
+    out = [r["source"] for r in mixing.mix(spark.createDataFrame(rows, "doc_id string, source string"), block=2, period=50).collect()]
+    assert {s: out.count(s) for s in sizes} == sizes
+    both = [s for s in out if s in ("a", "b")]  # of equal weight: side by side to the end
+    assert all(abs(2 * both[:k].count("a") - k) <= 8 for k in range(len(both)))
+    assert out.index("hot") < 50 and {"a", "b"} <= set(out[1000:1100])
+
+
 def test_pieces_equal_library_without_dropout_and_decode_with_it(spark, docs):
     import sentencepiece
 
