@@ -2,8 +2,9 @@
 
 Codebooks are full-dimensional: a vector is the sum of one code from each book. Books are trained on a bounded
 sample by k-means of the residuals, then refitted together by least squares. Vectors are encoded by beam search;
-a code row keeps the book entries and the norm of their sum. Queries score all rows by lookup tables (inner products with
-every code) and the stored norms; the best CANDIDATES of each query are scored again exactly on the original vectors.
+a code row keeps the book entries, the norm of what they leave of the unit vector, and the vector. Queries score all rows by
+lookup tables (inner products with every code). By Cauchy and Schwarz no cosine exceeds that score by more than the stored norm;
+a row whose bound reaches the query's k-th best so far is scored exactly, so the neighbours found are those of brute force.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from ._common import stash
 
 BOOKS, CODES, BEAM, TRAIN_ROWS, ROUNDS, SEED = 8, 256, 8, 8192, 8, 5
-#: Queries searched in one pass over the codes, rows scanned by a task, candidates of a query that are scored exactly.
-QUERY_BLOCK, SCAN_ROWS, CANDIDATES = 2048, 16384, 100
+#: Queries searched in one pass over the codes, rows scanned by a task.
+QUERY_BLOCK, SCAN_ROWS = 2048, 16384
+#: What rounding may take from a bound (lookups are sums of float32), and from an inner product.
+BOUND_SLACK, SLACK = 1e-4, 1e-9
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -57,7 +60,7 @@ def train_books(x: np.ndarray, books: int = BOOKS, codes: int = CODES) -> np.nda
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (rows x books) found by beam search, and norms of their sums."""
+    """Codes (rows x books) found by beam search, and norms of what they leave."""
     all_codes, all_norms = [], []
     k = books.shape[1]
     for at in range(0, len(x), 512):
@@ -78,7 +81,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
         best = ((part[:, None, :] - state) ** 2).sum(axis=2).argmin(axis=1)
         rows = np.arange(n)
         all_codes.append(code[rows, best])
-        all_norms.append(np.sqrt((state[rows, best] ** 2).sum(axis=1)))
+        all_norms.append(np.sqrt(((part - state[rows, best]) ** 2).sum(axis=1)))
     return np.concatenate(all_codes), np.concatenate(all_norms)
 
 
@@ -95,13 +98,62 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows over their largest component, and the norms of those."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x, np.sqrt((x * x).sum(axis=1))
 
 
-def search(df: DataFrame, is_query, k: int = 5, candidates: int = CANDIDATES) -> DataFrame:
-    """query_id, rank, vec_id, score: of each query row, the k other rows of largest cosine that were found.
+def _unit(x: np.ndarray) -> np.ndarray:
+    x, norm = _scaled(x)
+    return x / norm[:, None]
+
+
+class _Best:
+    """The k nearest rows of each query so far: cosines in descending order, ties by the smaller vec_id."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, books: np.ndarray, k: int):
+        self.ids, self.k, self.scored = ids, k, 0
+        self.x, self.norm = _scaled(q)
+        self.unit = self.x / self.norm[:, None]
+        self.tables = [(self.unit @ book.T).astype(np.float32) for book in books]
+        self.s, self.v = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def add(self, vec: np.ndarray, code: np.ndarray, left: np.ndarray, v: np.ndarray) -> None:
+        """Rows by vec_id, codes, norms of what codes leave, and vectors."""
+        x, norm = _scaled(v)
+        unit, bound = x / norm[:, None], (left + BOUND_SLACK).astype(np.float32)
+        for lo in range(0, len(self.ids), 256):
+            q = slice(lo, lo + 256)
+            most = np.repeat(bound[None], len(self.ids[q]), axis=0)
+            for j, table in enumerate(self.tables):
+                most += table[q][:, code[:, j]]
+            kth = self.s[q, -1:]
+            may = (most >= kth) & (self.ids[q, None] != vec)
+            self.scored += int(may.sum())
+            some = np.flatnonzero(may.any(axis=0))
+            if not len(some):
+                continue
+            score = np.where(may[:, some], self.unit[q] @ unit[some].T, -np.inf)
+            if len(some) > self.k and not np.isfinite(kth).all():  # else what reaches the k-th best is little
+                kth = np.maximum(kth, -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1 : self.k])
+            i, at = np.nonzero((score >= kth - SLACK) & np.isfinite(score))
+            at, i = some[at], i + lo
+            s = np.concatenate([(self.x[i[n : n + 65536]] * x[at[n : n + 65536]]).sum(axis=1) for n in range(0, len(i), 65536)] or [np.zeros(0)]) / (self.norm[i] * norm[at])
+            for query, a, b in zip(*_runs(i), strict=True):
+                all_s, all_v = np.append(self.s[query], s[a:b]), np.append(self.v[query], vec[at[a:b]])
+                first = np.lexsort((all_v, -all_s))[: self.k]
+                self.s[query], self.v[query] = all_s[first], all_v[first]
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of an ascending array, and where each begins and ends."""
+    value, start = np.unique(x, return_index=True)
+    return value, start, np.append(start[1:], len(x))[: len(start)]
+
+
+def search(df: DataFrame, is_query, k: int = 5) -> DataFrame:
+    """query_id, rank, vec_id, score: of each query row, the k other rows of largest cosine.
 
     df(vec_id, embedding). Vectors that are null, empty, zero, or hold null or non-finite components take no part; nor do
     those of another length than most have (ties: the longer). Ties in score go to the smaller vec_id. Rows that repeat a
@@ -124,10 +176,10 @@ def search(df: DataFrame, is_query, k: int = 5, candidates: int = CANDIDATES) ->
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                code, norm = encode(_unit(_matrix(b.column(1))), books.value)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in code.astype(np.uint8)], pa.binary()), pa.array(norm)], names=["vec_id", "code", "norm"])
+                code, left = encode(_unit(_matrix(b.column(1))), books.value)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in code.astype(np.uint8)], pa.binary()), pa.array(left), b.column(1)], names=["vec_id", "code", "left", "v"])
 
-    codes = stash(rows.mapInArrow(encoded, "vec_id long, code binary, norm double"), "aq-codes")
+    codes = stash(rows.mapInArrow(encoded, "vec_id long, code binary, left double, v array<double>"), "aq-codes")
     scans = max(1, -(-n // SCAN_ROWS))
     queries = rows.where(is_query).select("vec_id", "v")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -136,59 +188,25 @@ def search(df: DataFrame, is_query, k: int = 5, candidates: int = CANDIDATES) ->
         here = queries.where(F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)) == i).collect()
         if not here:
             continue
-        block = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in here]), _unit(np.array([r["v"] for r in here]))))
+        block = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in here]), np.array([r["v"] for r in here])))
 
         def scanned(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             ids, q = block.value
-            m, c, _ = books.value.shape
-            lookup = np.concatenate([q @ book.T for book in books.value], axis=1).astype(np.float32)  # queries x (books * codes)
-            best_s, best_v = np.full((len(ids), 0), -np.inf, np.float32), np.zeros((len(ids), 0), np.int64)
+            best, m = _Best(ids, q, books.value, k), len(books.value)
             for b in batches:
                 for at in range(0, b.num_rows, 2048):
                     part = b.slice(at, 2048)
-                    code = np.frombuffer(b"".join(x.as_py() for x in part.column(1)), np.uint8).reshape(part.num_rows, m).astype(np.int64)
-                    vec, norm = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
-                    for lo in range(0, len(ids), 256):
-                        table = lookup[lo : lo + 256]
-                        score = table[:, code[:, 0]]
-                        for j in range(1, m):
-                            score = score + table[:, code[:, j] + j * c]
-                        score = score / np.maximum(norm, 1e-12).astype(np.float32)
-                        score[ids[lo : lo + 256, None] == vec] = -np.inf
-                        if lo == 0:
-                            new_s, new_v = [], []
-                        s = np.concatenate([best_s[lo : lo + 256], score], axis=1)
-                        v = np.concatenate([best_v[lo : lo + 256], np.broadcast_to(vec, score.shape)], axis=1)
-                        keep = min(candidates, s.shape[1])
-                        at_best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                        new_s.append(np.take_along_axis(s, at_best, 1))
-                        new_v.append(np.take_along_axis(v, at_best, 1))
-                    best_s, best_v = np.concatenate(new_s), np.concatenate(new_v)
-            for i, query in enumerate(ids):
-                ok = np.isfinite(best_s[i])
-                if ok.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([query], pa.int64()), pa.array([best_v[i][ok].tolist()], pa.list_(pa.int64())), pa.array([best_s[i][ok].tolist()], pa.list_(pa.float32()))], names=["query_id", "vec_ids", "scores"])
-
-        some = codes.coalesce(scans).mapInArrow(scanned, "query_id long, vec_ids array<long>, scores array<float>")
-        # the best candidates over all scans, kept to their number as scans are merged
-        best = some.select("query_id", F.expr("transform(arrays_zip(scores, vec_ids), x -> struct(-x.scores AS s, x.vec_ids AS v))").alias("c"))
-        best = best.groupBy("query_id").agg(F.expr(f"slice(array_sort(flatten(collect_list(c))), 1, {candidates})").alias("c"))
-        best = stash(best.select("query_id", F.explode("c.v").alias("vec_id")), "aq-candidates")
-        found = best if found is None else found.union(best)
+                    code = np.frombuffer(b"".join(x.as_py() for x in part.column(1)), np.uint8).reshape(part.num_rows, m)
+                    vec, left = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
+                    best.add(vec, code, left, _matrix(part.column(3)))
+            i, j = np.nonzero(np.isfinite(best.s))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(best.v[i, j], pa.int64()), pa.array(best.s[i, j])], names=["query_id", "vec_id", "score"])
+
+        some = stash(codes.coalesce(scans).mapInArrow(scanned, "query_id long, vec_id long, score double"), "aq-found")
+        found = some if found is None else found.union(some)
     if found is None:
         return spark.createDataFrame([], schema)
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = _matrix(b.column(2)), _matrix(b.column(3))
-                x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
-                s = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-    own = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    pairs = found.join(rows, "vec_id").join(own, "query_id").select("query_id", "vec_id", "q", "v")
-    scored = pairs.mapInArrow(exact, "query_id long, vec_id long, score double")
-    top = scored.groupBy("query_id").agg(F.expr(f"slice(array_sort(collect_list(struct(-score AS s, vec_id AS v))), 1, {k})").alias("c"))
+    # the k best of each scan hold the k best of all
+    top = found.groupBy("query_id").agg(F.expr(f"slice(array_sort(collect_list(struct(-score AS s, vec_id AS v))), 1, {k})").alias("c"))
     top = top.select("query_id", F.posexplode("c").alias("rank", "x"))
     return top.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.v").alias("vec_id"), (-F.col("x.s")).alias("score"))

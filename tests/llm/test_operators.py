@@ -268,6 +268,22 @@ def test_neighbours(spark):
     assert len(few) == 2 and aq_ann.search(df.limit(0), F.expr("true")).count() == 0
 
 
+def test_neighbours_equal_brute_force_beyond_the_training_sample(spark, monkeypatch):
+    monkeypatch.setattr(aq_ann, "TRAIN_ROWS", 512)
+    rng = np.random.RandomState(6)
+    x = rng.normal(size=(12000, 64))
+    x[100:140] = x[50]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in aq_ann.search(df, F.expr("vec_id % 50 = 0")).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {}
+    for q in range(0, 12000, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        want |= {(q, k + 1): v for k, v in enumerate(np.lexsort((np.arange(12000), -s.round(12)))[:5])}
+    assert got == want
+
+
 def test_beam_is_no_worse_than_greedy():
     x = np.random.RandomState(1).normal(size=(300, 8))
     books = aq_ann.train_books(x, 3, 16)
