@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ._common import stash
 
-#: Buckets that a host's pages are dealt over, at least, and pages in a bucket, at most; alignments stay within a bucket.
-BUCKETS, BUCKET_PAGES = 64, 4096
+#: A host's pages are dealt over buckets of about FEW_PAGES, up to so many buckets; beyond that, of BUCKET_PAGES at most. Alignments stay within a bucket.
+FEW_PAGES, BUCKETS, BUCKET_PAGES = 128, 64, 4096
 #: A text is template if it matched in this share of the alignments of its node, and this many at least.
 SHARE, LEAST = 0.6, 3
 #: At most so many children of a node are aligned by dynamic programming; longer lists are aligned in windows of it.
@@ -270,11 +270,11 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def induce(pages: DataFrame) -> DataFrame:
     """host, wrapper: JSON of the host's slots (path -> share of varying text) and keys of its template texts."""
     rows = pages.select(_host().alias("host"), "page_id", "html")
-    # hosts that need more buckets: at most one for each BUCKETS * BUCKET_PAGES rows of the table
-    large = rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > BUCKETS * BUCKET_PAGES)
-    large = large.select("host", F.expr(f"CAST(ceil(n / {BUCKET_PAGES}) AS BIGINT)").alias("buckets"))
+    # hosts that need more than one bucket: at most one for each FEW_PAGES rows of the table
+    large = rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > min(FEW_PAGES, BUCKET_PAGES))
+    large = large.select("host", F.expr(f"CAST(greatest(ceil(n / {BUCKET_PAGES}), least({BUCKETS}, ceil(n / {FEW_PAGES}))) AS BIGINT)").alias("buckets"))
     rows = rows.join(F.broadcast(large), "host", "left")
-    rows = rows.select("host", F.pmod(F.xxhash64("page_id"), F.coalesce("buckets", F.lit(BUCKETS))).alias("bucket"), "page_id", "html")
+    rows = rows.select("host", F.pmod(F.xxhash64("page_id"), F.coalesce("buckets", F.lit(1))).alias("bucket"), "page_id", "html")
     rows = rows.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "page_id", "html")
     seen = rows.select("host", "html").mapInArrow(_evidence, "host string, path string, text long, met long, varied long")
     seen = stash(seen.groupBy("host", "path", "text").agg(F.sum("met").alias("met"), F.sum("varied").alias("varied")), "wrappers")

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -157,6 +158,15 @@ def test_template_texts_leave_unmarked_pages(spark, monkeypatch, buckets, each):
     assert {r["text"] for r in out} == {f"Body {i} of page {i} with its own long text {i}\nAnd more {i} {i}" for i in range(400)}
 
 
+def test_template_texts_leave_a_small_host(spark):
+    page = "<body><div><p>Same words on each page of it</p><div><p>Body {0} of page {0} with its own long text {0}</p><p>And more {0} {0}</p></div></div></body>"
+    rows = [(i, "http://small.example/", page.format(i)) for i in range(8)]
+    out = wrapper_html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in out} == {f"Body {i} of page {i} with its own long text {i}\nAnd more {i} {i}" for i in range(8)}
+    (wrapper,) = wrapper_html.induce(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(json.loads(wrapper["wrapper"])["texts"]) == 1
+
+
 def test_tree_matching():
     a, b = wrapper_html.parse("<ul><li>1<li>2<li>3</ul>"), wrapper_html.parse("<ul><li>1<b>x</b><li>3</ul>")
     assert len(wrapper_html.align(a, b)) == 4  # root, list, two items
