@@ -1,8 +1,8 @@
 """HTML main text by wrapper induction.
 
 Pages of a host are parsed into DOM trees and each is aligned with the page before it by simple tree matching. What
-matched nodes show is counted for each host over all its alignments: a text that recurs at a node of most pages is
-template; nodes whose text varies are slots. Slots that lie in regions of other roles (menus, notices, forms, comments
+matched nodes show is counted for each host over all its alignments: a text that recurs in matched nodes of most pages that
+have its path is template; nodes whose text varies are slots. Slots that lie in regions of other roles (menus, notices, forms, comments
 ...) are not content. Where a page marks no article, its content is the smallest element that holds most
 of the varying text. Pages that copy each other (most text equal) say nothing about their template.
 """
@@ -12,7 +12,8 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,10 +25,10 @@ from ._common import stash
 
 #: A host's pages are dealt over buckets of about FEW_PAGES, up to so many buckets; beyond that, of BUCKET_PAGES at most. Alignments stay within a bucket.
 FEW_PAGES, BUCKETS, BUCKET_PAGES = 128, 64, 4096
-#: A text is template if it matched in this share of the alignments of its node, and this many at least.
+#: A text is template if it matched in this share of the alignments of pages in which its path matched, and this many at least.
 SHARE, LEAST = 0.6, 3
-#: At most so many children of a node are aligned by dynamic programming; longer lists are aligned in windows of it.
-WINDOW = 48
+#: Pairs of children that are compared by dynamic programming; longer lists between equal children are matched in order.
+CELLS = 1 << 16
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -165,21 +166,71 @@ def _within(n: Node, tags: tuple[str, ...]) -> bool:
     return n is not None
 
 
-def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: the order-keeping match of equal signs with the most nodes, as matched pairs."""
-    memo: dict[tuple[int, int], int] = {}
+def _prints(n: Node, found: dict[int, int]) -> int:
+    """Hashes of all there is in a node and those below."""
+    h = found[id(n)] = hash((n.sign, *[k if isinstance(k, str) else _prints(k, found) for k in n.kids]))
+    return h
+
 
-    def kids(n):
-        return [k for k in n.kids if not isinstance(k, str)]
+def _rising(at: list[int]) -> list[int]:
+    """Positions of a longest ascending subsequence."""
+    tops: list[int] = []
+    last: list[int] = []
+    before = []
+    for i, x in enumerate(at):
+        k = bisect_left(tops, x)
+        before.append(last[k - 1] if k else -1)
+        tops[k : k + 1], last[k : k + 1] = [x], [i]
+    out, i = [], last[-1] if last else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
 
+
+def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """Tree matching, as matched pairs: equal children at both ends and those found once in each list are matched first,
+    between them the order-keeping match of equal signs with the most nodes."""
+    prints: dict[int, int] = {}
+    _prints(a, prints)
+    _prints(b, prints)
+    memo: dict[tuple[int, int], int] = {}
     inner: dict[int, list] = {}
 
     def of(n):
         k = inner.get(id(n))
         if k is None:
-            k = inner[id(n)] = kids(n)
+            k = inner[id(n)] = [x for x in n.kids if not isinstance(x, str)]
         return k
 
+    def parts(xs, ys):
+        """Pairs of equal children, and the lists between them."""
+        same, between = [], []
+        n = min(len(xs), len(ys))
+        i = 0
+        while i < n and prints[id(xs[i])] == prints[id(ys[i])]:
+            same.append((xs[i], ys[i]))
+            i += 1
+        j = 0
+        while j < n - i and prints[id(xs[-1 - j])] == prints[id(ys[-1 - j])]:
+            same.append((xs[-1 - j], ys[-1 - j]))
+            j += 1
+        xs, ys = xs[i : len(xs) - j], ys[i : len(ys) - j]
+        if xs and ys:
+            p, q = [prints[id(x)] for x in xs], [prints[id(y)] for y in ys]
+            many_p, many_q = Counter(p), Counter(q)
+            place = {h: k for k, h in enumerate(q)}
+            once = [k for k, h in enumerate(p) if many_p[h] == 1 == many_q[h]]
+            anchors = [(once[k], place[p[once[k]]]) for k in _rising([place[p[k]] for k in once])]
+            i = j = 0
+            for k, m in [*anchors, (len(xs), len(ys))]:
+                if i < k and j < m:
+                    between.append((xs[i:k], ys[j:m]))
+                if k < len(xs):
+                    same.append((xs[k], ys[m]))
+                i, j = k + 1, m + 1
+        return same, between
+
     def table(xs, ys):
         m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
         for i, x in enumerate(xs, 1):
@@ -191,25 +242,40 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
                 row[j] = best
         return m
 
+    def in_order(xs, ys):
+        """Each child with the next one of its sign."""
+        places = defaultdict(list)
+        for j, y in enumerate(ys):
+            places[y.sign].append(j)
+        out, at = [], 0
+        for x in xs:
+            found = places[x.sign]
+            k = bisect_left(found, at)
+            if k < len(found):
+                out.append((x, ys[found[k]]))
+                at = found[k] + 1
+        return out
+
     def size(x, y):
         xs, ys = of(x), of(y)
         if not xs or not ys:
             return 1
         key = (id(x), id(y))
         if key not in memo:
-            memo[key] = 1 + sum(table(p, q)[-1][-1] for p, q in windows(xs, ys))
+            same, between = parts(xs, ys)
+            memo[key] = 1 + sum(size(p, q) for p, q in same) + sum(table(p, q)[-1][-1] if len(p) * len(q) <= CELLS else sum(size(c, d) for c, d in in_order(p, q)) for p, q in between)
         return memo[key]
 
-    def windows(xs, ys):
-        return [(xs[i : i + WINDOW], ys[i : i + WINDOW]) for i in range(0, max(len(xs), len(ys)), WINDOW)]
-
     pairs: list[tuple[Node, Node]] = []
     stack = [(a, b)]
     while stack:
         x, y = stack.pop()
         pairs.append((x, y))
-        for xs, ys in windows(of(x), of(y)):
-            if not xs or not ys:
+        same, between = parts(of(x), of(y))
+        stack += same
+        for xs, ys in between:
+            if len(xs) * len(ys) > CELLS:
+                stack += in_order(xs, ys)
                 continue
             m, i, j = table(xs, ys), len(xs), len(ys)
             while i and j:
@@ -228,13 +294,13 @@ def _key(path: str, text: str) -> int:
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows host, page_id, html, a host's next to each other: (host, node path, text key or null, matches, varying)."""
+    """Rows host, page_id, html, a host's next to each other: (host, node path, text key or null, matches, varying, alignments of pages)."""
     host, last = None, None
-    seen: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+    seen: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
 
     def counted():
         keys = [*seen]
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array([seen[k][0] for k in keys], pa.int64()), pa.array([seen[k][1] for k in keys], pa.int64())], names=["host", "path", "text", "met", "varied"])
+        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array([seen[k][0] for k in keys], pa.int64()), pa.array([seen[k][1] for k in keys], pa.int64()), pa.array([seen[k][2] for k in keys], pa.int64())], names=["host", "path", "text", "met", "varied", "aligned"])
         seen.clear()
         return out
 
@@ -255,12 +321,14 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         same += len(t) * (s == t)
                         votes.append((p, t, s == t))
                 if 2 * same < total:  # else a copy
-                    for p, t, equal in votes:
+                    for p, _, equal in votes:
                         own = seen[h, p, None]
                         own[0] += 1
                         own[1] += not equal
-                        if equal:
-                            seen[h, p, _key(p, t)][0] += 1
+                    for p in {p for p, _, _ in votes}:
+                        seen[h, p, None][2] += 1
+                    for p, t in {(p, t) for p, t, equal in votes if equal}:
+                        seen[h, p, _key(p, t)][0] += 1
             last = (root, held)
         if len(seen) > 50_000:
             yield counted()
@@ -276,10 +344,10 @@ def induce(pages: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(large), "host", "left")
     rows = rows.select("host", F.pmod(F.xxhash64("page_id"), F.coalesce("buckets", F.lit(1))).alias("bucket"), "page_id", "html")
     rows = rows.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "page_id", "html")
-    seen = rows.select("host", "html").mapInArrow(_evidence, "host string, path string, text long, met long, varied long")
-    seen = stash(seen.groupBy("host", "path", "text").agg(F.sum("met").alias("met"), F.sum("varied").alias("varied")), "wrappers")
-    slot = seen.where("text IS NULL").select("host", "path", F.col("met").alias("all"), "varied")
-    same = seen.where(f"text IS NOT NULL AND met >= {LEAST}").join(slot.select("host", "path", "all"), ["host", "path"]).where(F.col("met") >= SHARE * F.col("all"))
+    seen = rows.select("host", "html").mapInArrow(_evidence, "host string, path string, text long, met long, varied long, aligned long")
+    seen = stash(seen.groupBy("host", "path", "text").agg(*[F.sum(c).alias(c) for c in ("met", "varied", "aligned")]), "wrappers")
+    slot = seen.where("text IS NULL").select("host", "path", F.col("met").alias("all"), "varied", F.col("aligned").alias("pages"))
+    same = seen.where(f"text IS NOT NULL AND met >= {LEAST}").join(slot.select("host", "path", "pages"), ["host", "path"]).where(F.col("met") >= SHARE * F.col("pages"))
     texts = same.groupBy("host").agg(F.collect_set("text").alias("texts"))
     slots = slot.where(f"all >= {LEAST}").groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", F.round(F.col("varied") / F.col("all"), 3)))).alias("slots"))
     both = slots.join(texts, "host", "left")

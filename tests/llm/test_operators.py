@@ -167,6 +167,21 @@ def test_template_texts_leave_a_small_host(spark):
     assert len(json.loads(wrapper["wrapper"])["texts"]) == 1
 
 
+def test_template_texts_beside_varying_ones_leave(spark):
+    page = "<body><div><p>Same words on each page</p><p>Body {0} of page {0} with its own text</p></div><div>{1}<p>Same tail after all</p></div></body>"
+    own = [[f"Row {j} of page {i} is its own" for j in range(40 + i * 7 % 23)] for i in range(12)]
+    rows = [(i, "http://v.example/", page.format(i, "".join(f"<p>{x}</p>" for x in own[i]))) for i in range(12)]
+    (wrapper,) = wrapper_html.induce(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = set(json.loads(wrapper["wrapper"])["texts"])
+    assert texts == {wrapper_html._key("/body/div/p", "Same words on each page"), wrapper_html._key("/body/div/p", "Same tail after all")}
+
+
+def test_long_lists_are_aligned_whole():
+    a, b = (wrapper_html.parse("<ul>" + "".join(f"<li>{c}{i}</li>" for i in range(n)) + "<li>same</li></ul>" + "<p>x</p>") for c, n in (("a", 300), ("b", 420)))
+    pairs = wrapper_html.align(a, b)
+    assert len(pairs) == 304 and ["same"] in [x.kids for x, y in pairs if x.kids == y.kids]
+
+
 def test_tree_matching():
     a, b = wrapper_html.parse("<ul><li>1<li>2<li>3</ul>"), wrapper_html.parse("<ul><li>1<b>x</b><li>3</ul>")
     assert len(wrapper_html.align(a, b)) == 4  # root, list, two items
