@@ -3,8 +3,8 @@
 Pages of a host are parsed into DOM trees and each is aligned with the page before it by simple tree matching. What
 matched nodes show is counted for each host over all its alignments: a text that recurs in matched nodes of most pages that
 have its path is template; nodes whose text varies are slots. Slots that lie in regions of other roles (menus, notices, forms, comments
-...) are not content. Where a page marks no article, its content is the smallest element that holds most
-of the varying text. Pages that copy each other (most text equal) say nothing about their template.
+...) are not content. A page's content is the smallest element that holds most of the varying text; an article or main
+element around it, or articles that hold most of it, say where it begins and ends. Pages that copy each other (most text equal) say nothing about their template.
 """
 
 from __future__ import annotations
@@ -362,26 +362,39 @@ def extract(page: str | None, wrapper: dict | None = None) -> str:
     """The main text of a whole page, given its host's wrapper."""
     slots, texts = (wrapper["slots"], frozenset(wrapper["texts"])) if wrapper else ({}, frozenset())
     all_blocks = [x for x in blocks(parse(page or "")) if not x[1] and _key(x[0], x[2]) not in texts]
-    for tags in (("article",), ("main",)):
-        marked = [x for x in all_blocks if _within(x[3], tags)]
-        if marked:
-            return "\n".join(x[2] for x in marked)
     if not all_blocks:
         return ""
     # the smallest element with most of the varying text
+    weights = [len(text) * slots.get(path, 1.0) for path, _, text, _ in all_blocks]
+    if not any(weights):
+        weights = [len(text) for _, _, text, _ in all_blocks]
     weight: dict[int, float] = defaultdict(float)
-    total, nodes = 0.0, {}
-    for path, _, text, node in all_blocks:
-        w = len(text) * slots.get(path, 1.0)
-        total += w
+    total, nodes = sum(weights), {}
+    for w, (_, _, _, node) in zip(weights, all_blocks, strict=True):
         while node is not None:
             weight[id(node)] += w
             nodes[id(node)] = node
             node = node.up
     depth = lambda n: 0 if n.up is None else 1 + depth(n.up)
     holders = [nodes[k] for k, w in weight.items() if 2 * w > total and nodes[k].tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")]
-    best = max(holders, key=depth, default=None)
-    return "\n".join(t for _, _, t, n in all_blocks if best is None or _inside(n, best))
+    best = max(holders, key=depth)
+    whole = _outermost(best, "article")
+    if whole is None:
+        marked = [(w, x) for w, x in zip(weights, all_blocks, strict=True) if _within(x[3], ("article",)) and _inside(x[3], best)]
+        if 2 * sum(w for w, _ in marked) > weight[id(best)]:
+            return "\n".join(x[2] for _, x in marked)
+        whole = _outermost(best, "main")
+        if whole is not None and any(_inside(x[3], whole) and not _inside(x[3], best) and _within(x[3], ("article",)) for x in all_blocks):
+            whole = None  # it also holds articles of its own
+    return "\n".join(t for _, _, t, n in all_blocks if _inside(n, whole or best))
+
+
+def _outermost(n: Node, tag: str) -> Node | None:
+    found = None
+    while n is not None:
+        found = n if n.tag == tag else found
+        n = n.up
+    return found
 
 
 def _inside(n: Node, top: Node) -> bool:

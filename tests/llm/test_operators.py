@@ -182,6 +182,21 @@ def test_long_lists_are_aligned_whole():
     assert len(pairs) == 304 and ["same"] in [x.kids for x, y in pairs if x.kids == y.kids]
 
 
+@pytest.mark.parametrize("page", ["<main>{0}</main>{1}", "<main><div>{0}</div><div>{1}</div></main>", "<div>{0}</div><section>{1}</section>"])
+def test_article_cards_do_not_replace_the_main_text(page):
+    text = "".join(f"<p>Paragraph {i} of what the page is about, at some length</p>" for i in range(6))
+    cards = "".join(f"<article><h3>Card {i}</h3><p>Teaser</p></article>" for i in range(4))
+    want = "\n".join(f"Paragraph {i} of what the page is about, at some length" for i in range(6))
+    assert wrapper_html.extract("<body>" + page.format(text, cards)) == want
+    assert wrapper_html.extract(f"<body><main><h1>Top</h1><div>{text}</div></main>") == "Top\n" + want
+    assert wrapper_html.extract(f"<body><div>{text}</div><main>{cards}</main>") == want
+
+
+def test_articles_with_most_of_the_text_are_the_content():
+    page = "<body><div><p>Intro</p><article><h2>One</h2><div><p>First long text of it</p></div></article><article><h2>Two</h2><p>Second long text</p></article></div>"
+    assert wrapper_html.extract(page) == "One\nFirst long text of it\nTwo\nSecond long text"
+
+
 def test_tree_matching():
     a, b = wrapper_html.parse("<ul><li>1<li>2<li>3</ul>"), wrapper_html.parse("<ul><li>1<b>x</b><li>3</ul>")
     assert len(wrapper_html.align(a, b)) == 4  # root, list, two items
