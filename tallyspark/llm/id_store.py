@@ -29,8 +29,8 @@ MAGIC, END = b"TIDS0001", 2
 RANGE_ROWS, SHARD_BYTES, SAMPLE, DICT_BYTES, LEVEL = 8192, 4 << 20, 1000, 64 << 10, 3
 NO_ID = -(2**63)
 
-# The vocabulary's pattern for words, over characters whose case and class are settled.
-_PLAIN = re.compile(r"[\x00-\x1b !-\x7e¡-©«-´¶-¹»-ÿ]*").fullmatch
+# The vocabulary's pattern for words, over characters whose case and class are settled (no control characters, no ² ³ ¹ ¼ ½ ¾, which are numbers).
+_PLAIN = re.compile(r"[\x09-\x0d -\x7e¡-©«-±´¶-¸»¿-ÿ]*").fullmatch
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0d a-zß-öø-ÿ0-9]+").findall
 
 

@@ -219,6 +219,14 @@ def test_id_store(spark, docs):
     assert id_store.store_ids(docs.limit(0), vocabulary(WORD_VOCABULARY)).count() == 0
 
 
+def test_ids_of_every_latin_1_character_equal_the_library():
+    e = id_store.encoder(vocabulary(WORD_VOCABULARY))
+    assert e.by_word
+    for c in map(chr, range(256)):
+        texts = [left + x + right for left in ("", "a", "é", "1", ".", "'", " ", "½") for right in ("", "b", "Ü", "2", ".", "'s", " ", "²") for x in (c, c + c)]
+        assert [t for t in texts if e(t) != e._whole(t)] == []
+
+
 def test_shard_reads_one_document():
     import zstandard
 
