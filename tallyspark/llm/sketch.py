@@ -1,7 +1,8 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A sketch holds every five-word shingle hash below 1/SCALE of the hash range, so sketches of any two texts can be
-compared and merged (union) whatever their lengths: shared hashes estimate containment in either text.
+compared and merged (union) whatever their lengths: shared hashes estimate containment in either text. SCALE is 1, so that
+short texts are told apart too: sketches are the full sets, and what they give is exact.
 """
 
 from __future__ import annotations
@@ -16,15 +17,15 @@ from pyspark.sql import functions as F
 
 from ._common import cut_points, range_of, shingles
 
-SCALE = 8
-#: Rows in a range of doc_ids; ranges keep neighbours together.
-RANGE_ROWS = 4096
+SCALE = 1
+#: Rows in a range of doc_ids; ranges keep neighbours together. Rows that are returned together.
+RANGE_ROWS, TOGETHER = 4096, 512
 
 
 def sketch(text: str | None, scale: int = SCALE) -> np.ndarray:
     """Sorted retained hashes of a whole text; null, empty and wordless texts retain none."""
     found = shingles(text)
-    return found[: np.searchsorted(found, np.uint64(2**64 // scale))]
+    return found[: np.searchsorted(found, np.uint64(2**64 // scale))] if scale > 1 else found
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -33,14 +34,14 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has; 0 where a retains none."""
+    """Share of a's shingles that b has, estimated if the scale is over 1; 0 where a retains none."""
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 0.0
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard similarity; 0 where neither retains a hash."""
+    """Jaccard similarity, estimated if the scale is over 1; 1 where neither retains a hash."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 0.0
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
 def to_text(a: np.ndarray) -> str:
@@ -68,17 +69,18 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         its = sketch(new)
         return doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), to_text(own), to_text(its), likeness(own, its), likeness(own, after_own)
 
-    for b in batches:
-        out = []
-        for part, guest, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if guest and last is None:
-                continue
-            text = text or ""
-            own = sketch(text)
-            if last is not None:
-                out.append(row(*last, text, own))
-            last = None if guest else (part, doc_id, text, own)
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=names)
+    for whole in batches:
+        for at in range(0, max(1, whole.num_rows), TOGETHER):
+            out = []
+            for part, guest, doc_id, text in zip(*(c.to_pylist() for c in whole.slice(at, TOGETHER).columns), strict=True):
+                if guest and last is None:
+                    continue
+                text = text or ""
+                own = sketch(text)
+                if last is not None:
+                    out.append(row(*last, text, own))
+                last = None if guest else (part, doc_id, text, own)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=names)
 
 
 def fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:

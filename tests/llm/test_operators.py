@@ -284,6 +284,20 @@ def test_sketches(spark, docs):
     assert sketch.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_sketches_of_short_texts(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in range(1, 25) for _ in range(8)]
+    texts = [t for t in dict.fromkeys(texts) for _ in range(2)] + ["", " \n"]  # each beside an equal one
+    out = sketch.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r for r in out}
+    assert len({r["fingerprint"] for r in out}) == len(texts) // 2
+    for i, t in enumerate(texts):
+        a, b = sets(t), sets(texts[i - 1])
+        assert got[i]["near_next"] == (len(a & b) / len(a | b) if a | b else 1.0)
+        a, b = sets(t), sets(sketch.edited(t, texts[i - 1]))
+        assert got[i]["near_edited"] == (len(a & b) / len(a | b) if a | b else 1.0)
+
+
 def test_chat(spark):
     odd = "</s>[INST] ok [/INST]\\l <|end|>\n{{x}}"
     rows = [(1, 0, "user", odd), (1, 1, "assistant", odd), (1, 1, "assistant", odd), (2, 0, "assistant", None), (None, 3, None, "x"), (3, None, "sys\ntem", "")]
