@@ -1,20 +1,24 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 The model file gives pieces with scores; nothing is trained. A text is escaped (spaces to U+2581, one put before it) and
-cut into units that no piece of the vocabulary crosses. Units of one length are merged together in arrays, a row each. Within a unit an agenda holds the candidate merges, best
-score first, leftmost first among equals; a popped candidate is skipped for good if a hash keyed by the seed, the document's
-variant, the unit and the candidate's place falls below the dropout rate. Characters outside the vocabulary, and
-U+2581 itself, become byte pieces, so decoding gives every text back exactly.
+cut into units that no piece of the vocabulary crosses. Within a unit an agenda holds the candidate merges, best score first,
+leftmost first among equals; a candidate that is popped and still fits is skipped for good with the dropout rate. Each occurrence
+of a unit in each document has draws of its own, hashed from the seed, doc_id and its place: how many candidates are
+taken before the next one is skipped. What a unit gives depends on the places of its skipped candidates alone, so the
+results for (unit, places) are remembered, and made for units of one length together in arrays, a row each. Characters outside
+the vocabulary, and U+2581 itself, become byte pieces, so decoding gives every text back exactly.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
-from itertools import compress, groupby
+from itertools import chain, compress, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,35 +27,90 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Share of candidate merges that are skipped, the key, and how many segmentations of a word a corpus has at most.
-DROPOUT, SEED, VARIANTS = 0.1, 7, 4
+#: Share of candidate merges that are skipped, the key, and over how many streams of draws documents are dealt (None: each has its own).
+DROPOUT, SEED, VARIANTS = 0.1, 7, None
 #: Characters of texts that are encoded together, of a unit that is merged among others, and the fewest units of one length for that.
 TOGETHER, LONG, FEW = 1 << 22, 64, 12
+#: No candidate is skipped from here on.
+NEVER = 1 << 20
 SPACE = "▁"
 
 
+_MASK = 0xFFFFFFFFFFFFFFFF
+
+
+def _mixed(h):
+    """Bits of a 64-bit number, or of an array of them, spread."""
+    if isinstance(h, int):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & _MASK
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & _MASK
+        return h ^ (h >> 31)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+_PLACE, _DRAW = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+
+
 class _Memory:
-    """What `make` gives for keys, remembered in two generations: when the young one is full it becomes the old one, so keys in use stay."""
+    """Results by number, remembered: of units by the places of their skipped candidates, `most` and those of one batch at most."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int):
+    def __init__(self, make: Callable[[list[tuple[str, tuple]]], list[tuple[bytes, int]]], most: int):
         self.make, self.most = make, most
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def of(self, keys: set[str]) -> dict[str, bytes]:
-        """A dictionary that has all keys."""
-        new = keys.difference(self.young)
-        if len(self.young) + len(new) > self.most:
-            self.old, self.young, new = self.young, {}, keys
-        old = self.old
-        self.young.update((k, old[k]) for k in new if k in old)
-        new = list(new.difference(old))
-        made = dict(zip(new, self.make(new), strict=True))
-        if any(len(k) > LONG for k in new):  # not remembered
-            self.young.update((k, x) for k, x in made.items() if len(k) <= LONG)
-            return {**self.young, **made}
-        self.young.update(made)
-        return self.young
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = self.used = self.heavy = 0
+        self.whole: dict[str, int] = {}
+        self.further: dict[int, int] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.units: list[str] = []
+        self.skips: list[tuple[int, ...]] = []
+        self.long: list[str] = []
+        self.pops, self.start, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, "<u4")
+
+    def fit(self) -> None:
+        if max(self.n, len(self.words)) > self.most or self.heavy > TOGETHER:
+            self.clear()
+
+    def put(self, made: list[tuple[bytes, int]], keys: list[tuple[str, tuple]]) -> range:
+        """Numbers of new results."""
+        end, sizes = self.n + len(made), np.array([len(x) // 4 for x, _ in made], np.int64)
+        while end > len(self.pops):
+            self.pops, self.start, self.size = (np.append(x, np.zeros_like(x)) for x in (self.pops, self.start, self.size))
+        last = self.used + int(sizes.sum())
+        if last > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros(max(len(self.ids), last), "<u4"))
+        self.ids[self.used : last] = np.frombuffer(b"".join([x for x, _ in made]), "<u4")
+        new = slice(self.n, end)
+        self.pops[new], self.size[new], self.start[new] = [n for _, n in made], sizes, self.used + np.cumsum(sizes) - sizes
+        self.units += [u for u, _ in keys]
+        self.skips += [k for _, k in keys]
+        out = range(self.n, end)
+        self.n, self.used = end, last
+        return out
+
+    def of(self, units: Iterable[str]) -> Callable[[str], int]:
+        """Gives the numbers of these units without skips; of a long unit, which is not remembered, -1 less its place in `long`."""
+        new = [u for u in set(units) if u not in self.whole]
+        for u in new:
+            if len(u) > LONG:
+                self.long.append(u)
+                self.whole[u] = -len(self.long)
+                self.heavy += len(u)
+        keys = [(u, ()) for u in new if len(u) <= LONG]
+        self.whole.update(zip([u for u, _ in keys], self.put(self.make(keys), keys), strict=True))
+        return self.whole.__getitem__
+
+    def skipped(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Numbers of the same with one more skip, at a later place."""
+        pairs, back = np.unique(at << 8 | place, return_inverse=True)
+        pairs = pairs.tolist()
+        new = [x for x in pairs if x not in self.further]
+        keys = [(self.units[x >> 8], (*self.skips[x >> 8], x & 255)) for x in new]
+        self.further.update(zip(new, self.put(self.make(keys), keys), strict=True))
+        return np.array([self.further[x] for x in pairs], np.int64)[back]
 
 
 class Codec:
@@ -59,11 +118,16 @@ class Codec:
 
     MEMORY = 800_000
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.limit, self.seed, self.variants = int(dropout * 2**32), seed, variants
+        self.seed, self.variants = seed, variants
+        # a draw below the k-th of these: k candidates at most are taken before the next skip
+        steps = min(1 << 16, int(32 * math.log(2) / -math.log1p(-dropout)) + 2) if 0 < dropout < 1 else int(dropout >= 1)
+        self.limits = np.array([round((1 - (1 - dropout) ** k) * 2**32) for k in range(1, steps + 1)], np.uint64)
+        self.gaps = np.append(np.arange(steps), NEVER)
+        self.limit_list = self.limits.tolist()
         self.ids: dict[str, int] = {}
         self.order: dict[str, float] = {}
         self.bytes = [b""] * 256
@@ -82,7 +146,7 @@ class Codec:
         self.units = re.compile(self._pattern()).findall
         # words between single spaces (a line break begins a word) are units by themselves if no piece holds a line break
         self.by_word = len(self._pattern()) > 6 and not any("\n" in p for p in self.ids)
-        self.words = [_Memory(lambda words, v=v: self._words(words, v), self.MEMORY // variants) for v in range(variants)]
+        self.words = [_Memory(self._made, self.MEMORY)]
         self._tables()
 
     def _tables(self) -> None:
@@ -114,11 +178,24 @@ class Codec:
         own = re.escape("".join(sorted(apart)))
         return rf"{SPACE}*[{own}]+|{SPACE}*[^{own}{SPACE}]+|{SPACE}+" if apart else rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
 
+    def _places(self, key: int) -> Iterator[int]:
+        """Places of an occurrence's skipped candidates among those that are popped and still fit, ascending."""
+        place, r = -1, 1
+        while place < NEVER:
+            place += 1 + int(self.gaps[bisect_right(self.limit_list, _mixed(key + r * _DRAW & _MASK) >> 32)])
+            yield place
+            r += 1
+
     def _merge(self, unit: str, key: int) -> bytes:
-        order, limit = self.order, self.limit
+        """Ids of an occurrence by its key."""
+        return self._run(unit, self._places(key))[0]
+
+    def _run(self, unit: str, skips: Iterator[int]) -> tuple[bytes, int]:
+        """Ids, and how many candidates were popped that still fit."""
+        order, pops, skip = self.order, 0, next(skips, -1)
         n = len(unit)
-        if n == 1:
-            return self._out([unit])
+        if not n:  # what stands for U+2581 in a text
+            return b"".join(self.bytes[x] for x in SPACE.encode()), 0
         symbols: list[str | None] = list(unit)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(order[p], i, i + 1, p) for i, p in enumerate(map(str.__add__, unit, unit[1:])) if p in order]
@@ -128,11 +205,10 @@ class Codec:
             a, b = symbols[i], symbols[j]
             if a is None or b is None or after[i] != j or len(a) + len(b) != len(piece):
                 continue
-            if limit:
-                h = (key ^ ((i << 40 | j << 20 | len(piece)) * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
-                h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-                if h >> 32 < limit:
-                    continue
+            pops += 1
+            if pops - 1 == skip:
+                skip = next(skips, -1)
+                continue
             symbols[i], symbols[j] = piece, None
             z = after[i] = after[j]
             if z < n:
@@ -145,14 +221,14 @@ class Codec:
                 p = symbols[y] + piece
                 if p in order:
                     heapq.heappush(agenda, (order[p], y, i, p))
-        return self._out([s for s in symbols if s is not None])
+        return self._out([s for s in symbols if s is not None]), pops
 
     def _out(self, symbols: list[str]) -> bytes:
         number = self.number
         return b"".join([number[s] if s in number else b"".join([self.bytes[x] for x in s.encode("utf-8", "surrogatepass")]) for s in symbols])
 
     def _key(self, v: int) -> int:
-        """Seed of the hash of a variant's units."""
+        """Seed of the draws of a document, or of a stream of several."""
         return xxhash.xxh3_64_intdigest(f"{self.seed}:{v}")
 
     def _piece(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -161,28 +237,62 @@ class Codec:
         at = np.searchsorted(self.pair, key)
         return np.where(self.pair[at] == key, self.makes[at], -1)
 
-    def _merge_all(self, units: Iterable[str], v: int) -> dict[str, bytes]:
-        """Ids of different units: those of one length merged together, long, few or odd ones (characters outside the vocabulary) one by one."""
-        out, alone, seed, digest = {}, [], self._key(v), xxhash.xxh3_64_intdigest
-        for n, group in groupby(sorted(units, key=len), len):
+    def _made(self, keys: list[tuple[str, tuple]]) -> list[tuple[bytes, int]]:
+        """_run of different units and skips: those of one length merged together, few or odd ones (characters outside the vocabulary) one by one."""
+        out, alone = {}, []
+        for n, group in groupby(sorted(keys, key=lambda k: len(k[0])), lambda k: len(k[0])):
             same = list(group)
-            if 1 < n <= LONG and len(same) >= FEW:
-                first = self.letter[np.frombuffer("".join(same).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)]
+            if 1 < n and len(same) >= FEW:
+                first = self.letter[np.frombuffer("".join([u for u, _ in same]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)]
                 plain = (first >= 0).all(axis=1)
                 if not plain.all():
                     alone += compress(same, ~plain)
                     same, first = list(compress(same, plain)), first[plain]
                 for at in range(0, len(same), 8192):  # rows that stay in the processor's memory
                     some = same[at : at + 8192]
-                    out.update(zip(some, self._agendas(first[at : at + 8192], np.array([digest(u, seed) for u in some], np.uint64)), strict=True))
+                    out.update(zip(some, self._agendas(first[at : at + 8192], [k for _, k in some]), strict=True))
             else:
                 alone += same
-        out.update((u, self._merge(u, digest(u.encode("utf-8", "surrogatepass"), seed))) for u in alone)
-        return out
+        out.update((k, self._run(k[0], iter(k[1]))) for k in alone)
+        return [out[k] for k in keys]
 
-    def _agendas(self, symbol: np.ndarray, keys: np.ndarray) -> list[bytes]:
-        """As _merge, over a unit in each row: a row's agenda is the rank of what each symbol and its next one make."""
+    def _merge_all(self, units: Iterable[str], v: int) -> dict[str, bytes]:
+        """Ids of different units, each with draws of its own."""
+        units, seed, memory = list(units), self._key(v), self.words[0]
+        keys = np.array([xxhash.xxh3_64_intdigest(u.encode("utf-8", "surrogatepass"), seed) for u in units], np.uint64)
+        at = self._drawn(np.array(list(map(memory.of(units), units)), np.int64), keys)
+        ids, ends = self._ids(at)
+        return {u: ids[x:y].tobytes() for u, x, y in zip(units, [0, *ends.tolist()], ends.tolist(), strict=False)}
+
+    def _drawn(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Numbers of results by those of units without skips and by keys, for each occurrence."""
+        memory = self.words[0]
+        for k in np.flatnonzero(at < 0).tolist():
+            u = memory.long[-1 - int(at[k])]
+            (at[k],) = memory.put([(self._merge(u, int(keys[k])), 0)], [("", ())])
+            memory.heavy += len(u)
+        left, place, r = np.arange(len(at)), np.full(len(at), -1), 1
+        while len(left):
+            h = _mixed(keys[left] + np.uint64(r * _DRAW & _MASK)) >> np.uint64(32)
+            place[left] += 1 + self.gaps[np.searchsorted(self.limits, h, "right")]
+            left = left[place[left] < memory.pops[at[left]]]
+            if len(left):
+                at[left] = memory.skipped(at[left], place[left])
+            r += 1
+        return at
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of results one after the other, and where each ends."""
+        memory = self.words[0]
+        sizes = memory.size[at]
+        ends = np.cumsum(sizes)
+        return memory.ids[np.repeat(memory.start[at] - ends + sizes, sizes) + np.arange(int(sizes.sum()))], ends
+
+    def _agendas(self, symbol: np.ndarray, skips: list[tuple]) -> list[tuple[bytes, int]]:
+        """As _run, over a unit in each row: a row's agenda is the rank of what each symbol and its next one make."""
         rows, n = symbol.shape
+        skip, pops = np.zeros((rows, 3 * n), bool), np.zeros(rows, np.int64)
+        skip[np.repeat(np.arange(rows), [len(k) for k in skips]), np.fromiter(chain.from_iterable(skips), np.int64)] = True
         symbol = symbol.astype(np.int64)
         after, before = np.tile(np.arange(1, n + 1), (rows, 1)), np.tile(np.arange(-1, n - 1), (rows, 1))
         piece = np.full((rows, n), -1)
@@ -195,10 +305,8 @@ class Codec:
             r, i = r[live], i[live]
             j, p = after[r, i], piece[r, i]
             agenda[r, i] = np.inf
-            place = i.astype(np.uint64) << np.uint64(40) | j.astype(np.uint64) << np.uint64(20) | self.length[p]
-            h = keys[r] ^ (place * np.uint64(0x9E3779B97F4A7C15))
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            take = (h >> np.uint64(32)) >= np.uint64(self.limit)
+            take = ~skip[r, pops[r]]
+            pops[r] += 1
             a, i, j, p = r[take], i[take], j[take], p[take]
             symbol[a, i], symbol[a, j], agenda[a, j] = p, -1, np.inf
             z, y = after[a, j], before[a, i]
@@ -212,36 +320,50 @@ class Codec:
         left = symbol >= 0
         ids = self.vocabulary_id[symbol[left]].tobytes()
         ends = (4 * np.cumsum(left.sum(axis=1))).tolist()
-        return [ids[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+        return [(ids[x:y], n) for x, y, n in zip([0, *ends], ends, pops.tolist(), strict=False)]
 
-    def variant(self, doc_id: int | None) -> int:
-        return zlib.crc32(f"{self.seed}:{doc_id}".encode()) % self.variants
+    def variant(self, doc_id: int | None) -> int | None:
+        return doc_id if self.variants is None else zlib.crc32(f"{self.seed}:{doc_id}".encode()) % self.variants
 
-    def _words(self, words: list[str], v: int) -> Iterator[bytes]:
-        """Ids of words; a word of letters is one unit."""
-        cut = [SPACE + w if w.isalpha() else self.units(w if w[0] == "\n" else SPACE + w) for w in words]
-        units = {u for u in cut if type(u) is str}.union(*(u for u in cut if type(u) is list))
-        ids = self._merge_all(units, v).__getitem__
-        return (ids(u) if type(u) is str else b"".join(map(ids, u)) for u in cut)
+    def _cut(self, words: list[str]) -> Iterator[list[str]]:
+        """Units of words; a word of letters is one unit."""
+        return ([SPACE + w] if w.isalpha() else self.units(w if w[:1] == "\n" else SPACE + w) for w in words)
 
     def encode_all(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes]:
         """Ids of each text as little-endian u32."""
+        memory = self.words[0]
+        memory.fit()
+        parts: dict[int, list[str]] = {}
+        odd: set[int] = set()
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            spaced = text.replace("\n", " \n")
+            if self.by_word and SPACE not in spaced and "  " not in spaced and spaced[0] != " " and spaced[-1] != " ":
+                parts[k] = spaced.split(" ")
+            else:
+                odd.add(k)
+                units: list[str] = []
+                for q, part in enumerate(text.split(SPACE)):
+                    units += ["", *self.units(part.replace(" ", SPACE))] if q else self.units(SPACE + part.replace(" ", SPACE))
+                parts[k] = units
+        words = list(set().union(*(w for k, w in parts.items() if k not in odd)).difference(memory.words))
+        cut = list(self._cut(words))
+        number = memory.of({*chain.from_iterable(cut), *chain.from_iterable(parts[k] for k in odd)})
+        memory.words.update((w, tuple(map(number, units))) for w, units in zip(words, cut, strict=True))
+        known = memory.words.__getitem__
+        found = [np.fromiter(map(number, w) if k in odd else chain.from_iterable(map(known, w)), np.int64) for k, w in parts.items()]
+        sizes = np.array([len(x) for x in found], np.int64)
+        key = np.array([self._key(self.variant(doc_ids[k])) for k in parts], np.uint64)
+        if not len(key):
+            return [b""] * len(texts)
+        first = np.cumsum(sizes) - sizes
+        place = (np.arange(int(sizes.sum())) - np.repeat(first, sizes) + 1).astype(np.uint64)
+        ids, ends = self._ids(self._drawn(np.concatenate(found), _mixed(np.repeat(key, sizes) + place * np.uint64(_PLACE))))
+        ends = np.append(0, ends)[first + sizes]
         out = [b""] * len(texts)
-        for v, group in groupby(sorted((self.variant(d), k) for k, d in enumerate(doc_ids) if texts[k]), lambda x: x[0]):
-            fast: dict[int, list[str]] = {}
-            odd: dict[int, list[list[str]]] = {}
-            for _, k in group:
-                spaced = texts[k].replace("\n", " \n")
-                if self.by_word and SPACE not in spaced and "  " not in spaced and spaced[0] != " " and spaced[-1] != " ":
-                    fast[k] = spaced.split(" ")
-                else:
-                    odd[k] = [self.units((SPACE if not q else "") + part.replace(" ", SPACE)) for q, part in enumerate(texts[k].split(SPACE))]
-            ids = self.words[v].of(set().union(*fast.values())).__getitem__
-            for k, words in fast.items():
-                out[k] = b"".join(map(ids, words))
-            ids = self._merge_all(set().union(*(u for parts in odd.values() for u in parts)), v).__getitem__
-            for k, parts in odd.items():
-                out[k] = b"".join(self.bytes[x] for x in SPACE.encode()).join(b"".join(map(ids, units)) for units in parts)
+        for k, x, y in zip(parts, [0, *ends.tolist()], ends.tolist(), strict=False):
+            out[k] = ids[x:y].tobytes()
         return out
 
     def encode(self, text: str | None, doc_id: int | None = None) -> bytes:
@@ -261,11 +383,11 @@ def codec(*options) -> Codec:
     return _CODECS[options]
 
 
-def encode_documents(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS) -> DataFrame:
     """doc_id, n_tokens, ids, intact (the ids decode to the text), a row for each row of docs.
 
-    Null and empty texts have no ids, and decode to an empty text. Equal texts of one variant (a hash of doc_id) have equal ids;
-    a null doc_id is hashed as such. Other columns are not read. An empty table gives an empty result.
+    Null and empty texts have no ids, and decode to an empty text. Rows of one doc_id and text have equal ids; a null
+    doc_id is hashed as such. Other columns are not read. An empty table gives an empty result.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

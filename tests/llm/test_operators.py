@@ -134,6 +134,18 @@ def test_pieces_do_not_depend_on_what_is_remembered():
     assert [c.encode(t, i) for i, t in enumerate(texts)] == piece_codec.Codec(path).encode_all(texts, list(range(60)))
 
 
+def test_words_are_cut_anew_in_each_document():
+    c, n = piece_codec.Codec(vocabulary(PIECE_VOCABULARY)), 4000
+    out = c.encode_all(["of"] * n, list(range(n)))  # one merge of its characters, one with the space
+    plain = piece_codec.Codec(vocabulary(PIECE_VOCABULARY), 0.0).encode("of")
+    assert 0.1 < sum(x != plain for x in out) / n < 0.3
+    long = "internationalization"
+    assert len(set(c.encode_all([long] * n, list(range(n))))) > 50
+    one = np.frombuffer(c.encode(" ".join([long] * 200), 5), "<u4")
+    whole = np.frombuffer(piece_codec.Codec(vocabulary(PIECE_VOCABULARY), 0.0).encode(" ".join([long] * 200)), "<u4")
+    assert len({x.tobytes() for x in np.split(one, 200)} if len(one) % 200 == 0 else {1, 2}) > 1 and c.decode(one) == c.decode(whole)
+
+
 PAGE = """<html><head><title>t</title><script>x="</p>"</script></head><body><nav><ul><li>Home</ul></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Head {0}</h1><p><b>One&amp;two   {0}<br>three<p>Second &lt;p&gt; {0}<div class=ad>Buy</div><form><input><button>Go</button></form></article>
 <section id=comments><p>I disagree {0}</p></section><aside>Side</aside><footer>&copy; f</footer>"""
