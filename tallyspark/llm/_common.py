@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where it is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, a local one if Spark runs in one process; else an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.TemporaryDirectory(prefix="tallyspark-"))
         atexit.register(_LOCAL[0].cleanup)
@@ -55,26 +58,33 @@ def remainder(column: str, by: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
-def cut_points(df: DataFrame, column: str, rows_each: int, most: int = 1024) -> list[int]:
-    """Values that split column into ranges of about rows_each rows (more, where that would take over `most` ranges)."""
+def cut_points(df: DataFrame, column: str, rows_each: int) -> list[int]:
+    """Values that split column into ranges of about rows_each rows: 8 bytes on the driver for each such range."""
     n = df.where(F.col(column).isNotNull()).count()
-    parts = min(most, max(1, -(-n // rows_each)))
+    parts = max(1, -(-n // rows_each))
     if parts == 1:
         return []
     at = df.approxQuantile(column, [i / parts for i in range(1, parts)], min(0.01, 0.2 / parts))
     return sorted({int(x) for x in at})
 
 
-def range_of(column: str, cuts: list[int]):
-    """How many cut points are at most the value, by binary search: ranges in ascending order; null goes to range 0."""
+def range_of(column: str, cuts: list[int], leaf: int = 512):
+    """How many cut points are at most the value, by binary search (of more than `leaf`: for a group of them, then counted in it):
+    ranges in ascending order; null goes to range 0."""
 
-    def search(lo: int, hi: int) -> str:
+    def search(lo: int, hi: int, at: list[int]) -> str:
         if lo == hi:
             return str(lo)
         mid = (lo + hi) // 2
-        return f"IF(`{column}` >= {cuts[mid]}L, {search(mid + 1, hi)}, {search(lo, mid)})"
-
-    return F.expr(search(0, len(cuts))) if cuts else F.lit(0)
+        return f"IF(`{column}` >= {at[mid]}L, {search(mid + 1, hi, at)}, {search(lo, mid, at)})"
+
+    if len(cuts) <= leaf:
+        return F.expr(search(0, len(cuts), cuts)) if cuts else F.lit(0)
+    each = -(-len(cuts) // leaf)
+    groups = [cuts[i : i + each] for i in range(0, len(cuts), each)]
+    table = f"from_json('{json.dumps(groups, separators=(',', ':'))}', 'array<array<bigint>>')"  # a constant
+    group = search(0, len(groups) - 1, [g[0] for g in groups[1:]])
+    return F.expr(f"transform(array({group}), g -> g * {each} + size(filter(element_at({table}, g + 1), c -> c <= `{column}`)))[0]")
 
 
 class WordHashes(dict):

@@ -9,101 +9,152 @@ are rows of a Parquet table, numbered in doc_id order, so that any store Spark w
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import cut_points, range_of, scratch_root
+from ._common import cut_points, scratch_root
 
 MAGIC, END = b"TIDS0001", 2
 #: Documents of a range and bytes of a shard, about; documents the dictionary is trained on, and its bytes.
 RANGE_ROWS, SHARD_BYTES, SAMPLE, DICT_BYTES, LEVEL = 8192, 4 << 20, 1000, 64 << 10, 3
+#: Bytes of text that are encoded together; bytes of a part of a sampled document, and most parts of one that the dictionary is trained on.
+TOGETHER, PART, PARTS = 4 << 20, 16 << 10, 4
 NO_ID = -(2**63)
 
 # The vocabulary's pattern for words, over characters whose case and class are settled (no control characters, no ² ³ ¹ ¼ ½ ¾, which are numbers).
 _PLAIN = re.compile(r"[\x09-\x0d -\x7e¡-©«-±´¶-¸»¿-ÿ]*").fullmatch
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0d a-zß-öø-ÿ0-9]+").findall
-
-
-class _Known(dict):
-    """Ids of what stands between white space, remembered."""
-
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> bytes:
-        ids = b"".join(map(self.encoder.piece, _PIECES(word)))
-        if len(word) <= 64:
-            if len(self) >= Encoder.MEMORY:
-                self.clear()
-            self[word] = ids
-        return ids
+_SEPARATED = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^\x09-\x0d a-zß-öø-ÿ0-9]+").findall
+_ID = attrgetter("id")
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer file; word by word with a memory where the file's rules allow it.
+    """Ids of whole texts by a tokenizer file; piece by piece with a memory where the file's rules allow it.
 
-    The word vocabulary normalises (NFC, white space, lower case), cuts words by a pattern and merges within a word only. For texts
-    of ASCII and Latin-1 letters those steps are done here and each word is merged by the library's model once;
-    all other texts, and any other kind of vocabulary, go through the library whole.
+    The word vocabulary normalises (NFC, white space, lower case), cuts words into pieces by a pattern and merges within a piece only. For
+    texts of ASCII and Latin-1 letters those steps are done here, for many texts together: their distinct words are cut, and a new
+    piece is merged by the library's model once. All other texts, and any other kind of vocabulary, go through the library whole.
     """
 
-    MEMORY = 200_000
+    #: Bytes of pieces that are remembered (HELD: what each takes beside its letters and ids); beyond it, those of the texts at hand stay.
+    MEMORY, HELD = 64 << 20, 200
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end: int = END):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
-        self.alphabet = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.known, self.pieces = _Known(self), {}
-        tests = ("It's THE end's, we'll x1234 (Ärger)ÀÉ!\n\tça?? 'm a'", "a  b\n\n12 ab'll'd ##!! |x|", "É§x naïve øre ÷×")
-        self.by_word = all(self._words(t) == self._whole(t) for t in tests)
+        shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.alphabet = {b: a for c in map(chr, range(128, 256)) for b, a in zip(c.encode(), shown(c)[0][0], strict=True)}
+        self.last = np.array([end], "<u4")
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        self.held, self.size, self.ids = 0, np.zeros(0, np.int64), np.zeros(0, "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        tests = ["It's THE end's, we'll x1234 (Ärger)ÀÉ!\n\tça?? 'm a'", "a  b\n\n12 ab'll'd ##!! |x|", "É§x naïve øre ÷×", *(f"{c}a{c}{c}1 {c}" for c in map(chr, range(256)) if _PLAIN(c))]
+        self.by_piece = True
+        self.by_piece = self.encode_all(tests) == [self._whole(t) + self.last.tobytes() for t in tests]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _words(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, text.lower().split()))
-
-    def piece(self, word: str) -> bytes:
-        ids = self.pieces.get(word)
-        if ids is None:
-            if len(self.pieces) >= self.MEMORY:
-                self.pieces.clear()
-            shown = word if word.isascii() else self.alphabet(word)[0][0]
-            found = [t.id for t in self.merge(shown)]
-            ids = self.pieces[word] = struct.pack(f"<{len(found)}I", *found)
-        return ids
+    def _learn(self, pieces: list[str]) -> None:
+        """Numbers for new pieces."""
+        odd = [p for p in pieces if not p.isascii()]
+        shown = dict(zip(odd, "\n".join(odd).encode().decode("latin-1").translate(self.alphabet).split("\n"), strict=True)) if odd else {}
+        found, sizes = [], []
+        for p in pieces:
+            ids = self.merge(shown.get(p, p))
+            found += map(_ID, ids)
+            sizes.append(len(ids))
+        self.number.update(zip(pieces, range(len(self.names), len(self.names) + len(pieces)), strict=True))
+        self.names += pieces
+        self.size, self.ids = np.append(self.size, sizes).astype(np.int64), np.append(self.ids, np.array(found, "<u4"))
+        self.held += sum(map(len, pieces)) + 4 * len(found) + self.HELD * len(pieces)
+
+    def _keep(self, some: np.ndarray) -> None:
+        """Forget all pieces but some, by number."""
+        ids, _ = _gather(self.ids, self.size, some)
+        self.names = [self.names[i] for i in some.tolist()]
+        self.number = {p: i for i, p in enumerate(self.names)}
+        self.size, self.ids = self.size[some], ids
+        self.held = sum(map(len, self.names)) + 4 * len(ids) + self.HELD * len(some)
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Plain texts: the ids of their distinct words, then of all."""
+        cut = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.string())))
+        found = cut.flatten().dictionary_encode()
+        # a line break ends each word; its pieces come before it
+        words = pa.ListArray.from_arrays([0, len(found.dictionary)], found.dictionary)
+        pieces = _SEPARATED(pc.binary_join(words, "\n")[0].as_py() + "\n")
+        self._learn([p for p in set(pieces).difference(self.number) if p != "\n"])
+        self.number["\n"] = -1
+        number = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        del self.number["\n"]
+        ends = np.flatnonzero(number < 0)
+        number[ends] = 0
+        sizes = self.size[number] if len(self.size) else np.zeros(len(number), np.int64)
+        sizes[ends] = 0
+        ids, _ = _gather(self.ids, self.size, np.delete(number, ends)) if len(self.size) else (self.ids, None)
+        of_word = np.diff(np.cumsum(sizes)[ends], prepend=0)
+        # the end id is a word of its own, after the last word of each text
+        counts = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        word = np.insert(found.indices.to_numpy().astype(np.int64), np.cumsum(counts), len(of_word))
+        ids, ends = _gather(np.append(ids, self.last), np.append(of_word, 1), word)
+        ends = ends[np.cumsum(counts + 1) - 1].tolist()
+        if self.held > self.MEMORY:
+            self._keep(np.unique(number))
+        return [ids[x:y].tobytes() for x, y in zip([0, *ends], ends, strict=False)]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, the end id last, as little-endian u32."""
+        plain = [k for k, t in enumerate(texts) if self.by_piece and _PLAIN(t or "") and not any(s in (t or "") for s in self.special)]
+        out = dict(zip(plain, self._together([texts[k] or "" for k in plain]), strict=True)) if plain else {}
+        last = self.last.tobytes()
+        return [out[k] if k in out else self._whole((t or "").encode("utf-8", "replace").decode()) + last for k, t in enumerate(texts)]
 
     def __call__(self, text: str | None) -> bytes:
-        text = text or ""
-        if self.by_word and _PLAIN(text) and not any(s in text for s in self.special):
-            return self._words(text)
-        return self._whole(text.encode("utf-8", "replace").decode())
+        """Ids of one text, without the end id."""
+        return self.encode_all([text])[0][:-4]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+def _gather(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ids (of these sizes, one after the other) by number, and where each ends."""
+    start, size = np.cumsum(sizes) - sizes, sizes[at]
+    ends = np.cumsum(size)
+    return ids[np.repeat(start[at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        import os
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
+
+def encoder(path: str, end: int = END) -> Encoder:
+    if (path, end) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path, end] = Encoder(path, end)
+    return _ENCODERS[path, end]
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about TOGETHER bytes of a column, a row at least."""
+    sizes, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def pack(docs: list[tuple[int | None, bytes, int]], digest: bytes) -> bytes:
@@ -142,14 +193,22 @@ class Shard:
 
 
 def train_dictionary(docs: DataFrame, path: str, sample: int = SAMPLE) -> bytes:
-    """A dictionary trained on the id arrays of about `sample` documents (chosen by hash); empty if they are too few."""
+    """A dictionary trained on the id arrays of about `sample` documents (chosen by hash); empty if they are too few.
+
+    A document of more than PARTS parts of PART bytes gives PARTS of them, spread evenly from its first to its last.
+    """
     n = docs.count()
     some = docs.where(F.pmod(F.xxhash64(F.lit("dict"), "doc_id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample / max(n, 1)))
 
     def encoded(batches):
         to_ids = encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([to_ids(t.as_py())[: 64 << 10] for t in b.column(0)], pa.binary())], names=["ids"])
+            for part in _slices(b, 0):
+                out = []
+                for ids in to_ids.encode_all(part.column(0).to_pylist()):
+                    parts = [ids[x : x + PART] for x in range(0, len(ids) - 4, PART)]
+                    out += [parts[i] for i in sorted({round(k * (len(parts) - 1) / (PARTS - 1)) for k in range(PARTS)})] if len(parts) > PARTS else parts
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     arrays = sorted(bytes(r[0]) for r in some.select("text").mapInArrow(encoded, "ids binary").collect())
     try:
@@ -172,23 +231,21 @@ def write_shards(docs: DataFrame, path: str, out: str, end: int = END, range_row
     shared = spark.sparkContext.broadcast(dictionary)
 
     def frames(batches):
-        to_ids, last = encoder(path), np.array([end], "<u4").tobytes()
+        to_ids, starts = encoder(path, end), np.array(cuts, np.int64)
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value) if shared.value else None, write_content_size=True).compress
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                n, out = [], []
-                for t in b.column(2):
-                    ids = to_ids(t.as_py()) + last
-                    n.append(len(ids) // 4)
-                    out.append(squeeze(ids))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["part", "doc_id", "n", "frame"])
+            for b in _slices(whole, 1):
+                ids = to_ids.encode_all(b.column(1).to_pylist())
+                n = pa.array([len(x) // 4 for x in ids], pa.int64())
+                doc_id = b.column(0)
+                part = np.where(doc_id.is_null(), -1, np.searchsorted(starts, pc.fill_null(doc_id, 0).to_numpy(zero_copy_only=False), "right")).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(part), doc_id, n, pa.array(list(map(squeeze, ids)), pa.binary())], names=["part", "doc_id", "n", "frame"])
 
     def shards(batches):
         part, number, size, held = None, 0, 0, []
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([sum(x[2] for x in held)], pa.int64()), pa.array([pack(held, digest)], pa.binary())], names=["part", "number", "tokens", "shard"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([held[0][0]], pa.int64()), pa.array([held[-1][0]], pa.int64()), pa.array([sum(x[2] for x in held)], pa.int64()), pa.array([pack(held, digest)], pa.binary())], names=["part", "number", "first", "last", "tokens", "shard"])
 
         for b in batches:
             for p, doc_id, n, frame in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -201,10 +258,10 @@ def write_shards(docs: DataFrame, path: str, out: str, end: int = END, range_row
         if held:
             yield done()
 
-    rows = docs.select(F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(range_of("doc_id", cuts)).alias("part"), "doc_id", "text")
-    dealt = rows.mapInArrow(frames, "part int, doc_id long, n long, frame binary").repartition(len(cuts) + 1, "part")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = rows.mapInArrow(frames, "part long, doc_id long, n long, frame binary").repartition(len(cuts) + 1, "part")
     dealt = dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "frame")
-    dealt.mapInArrow(shards, "part int, number int, tokens long, shard binary").write.parquet(f"{out}/shards")
+    dealt.mapInArrow(shards, "part long, number long, first long, last long, tokens long, shard binary").write.parquet(f"{out}/shards")
     return dictionary
 
 
@@ -213,7 +270,7 @@ def read_shards(spark: SparkSession, out: str) -> DataFrame:
     shards = spark.read.parquet(f"{out}/shards")
     (dictionary,) = (bytes(r[0]) for r in spark.read.parquet(f"{out}/dictionary").select("dictionary").collect())
     shared = spark.sparkContext.broadcast(dictionary)
-    # the ids before each range (1024 ranges at most), then before each shard of a range
+    # the ids before each range (a number a range), then before each shard of a range
     sums = shards.groupBy("part").agg(F.sum("tokens").alias("tokens"))
     ranges = sums.select("part", F.coalesce(F.sum("tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     within = W.partitionBy("part").orderBy("number").rowsBetween(W.unboundedPreceding, -1)
@@ -233,6 +290,19 @@ def read_shards(spark: SparkSession, out: str) -> DataFrame:
     return joined.select("start", "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def read_document(spark: SparkSession, out: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of each row of one document in the shards in `out`: by the shards' ranges and index, no other frame is decompressed."""
+    (dictionary,) = (bytes(r[0]) for r in spark.read.parquet(f"{out}/dictionary").select("dictionary").collect())
+    shards = spark.read.parquet(f"{out}/shards").where(F.lit(doc_id).between(F.col("first"), F.col("last")))
+
+    def read(batches):
+        for b in batches:
+            found = [shard.ids(i).astype("<u4").tobytes() for data in b.column(0) for shard in [Shard(data.as_py(), dictionary)] for i in np.flatnonzero(shard.index[:, 0] == doc_id)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["ids"])
+
+    return [np.frombuffer(r[0], "<u4") for r in shards.select("shard").mapInArrow(read, "ids binary").collect()]
+
+
 def store_ids(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """Write the ids of every whole text of docs and read them back: doc_id, start, n_tokens, ids_crc32.
 

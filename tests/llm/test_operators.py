@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyspark.llm import aq_ann, chat_render, id_store, lang_ftrl, mixing, near_dup, piece_codec, quality_rff, sketch, wrapper_html
+from tallyspark.llm import _common, aq_ann, chat_render, id_store, lang_ftrl, mixing, near_dup, piece_codec, quality_rff, sketch, wrapper_html
 from tallyspark.llm.queries import PIECE_VOCABULARY, WORD_VOCABULARY, vocabulary
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, slot long"
@@ -233,12 +233,46 @@ def test_id_store(spark, docs):
 
 def test_ids_of_every_latin_1_character_equal_the_library():
     e = id_store.encoder(vocabulary(WORD_VOCABULARY))
-    assert e.by_word
+    assert e.by_piece
     for c in map(chr, range(256)):
         texts = [left + x + right for left in ("", "a", "é", "1", ".", "'", " ", "½") for right in ("", "b", "Ü", "2", ".", "'s", " ", "²") for x in (c, c + c)]
         assert [t for t in texts if e(t) != e._whole(t)] == []
 
 
+def test_ids_of_random_texts_equal_the_library():
+    e, rng = id_store.encoder(vocabulary(WORD_VOCABULARY)), random.Random(12)
+    latin, wide = [chr(c) for c in range(32, 256) if id_store._PLAIN(chr(c))] + list("\n\t  aeinst'"), [chr(c) for c in range(0x250)]
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 60))) for chars in (latin, wide) for _ in range(3000)]
+    got = e.encode_all(texts)
+    assert [t for t, ids in zip(texts, got, strict=True) if ids != e._whole(t) + b"\2\0\0\0"] == []
+
+
+def test_ids_do_not_depend_on_what_is_remembered(monkeypatch):
+    monkeypatch.setattr(id_store.Encoder, "MEMORY", 4000)
+    texts = [" ".join(random.Random(i).choices(WORDS, k=40)) + f" odd{i} É{i}x. " + "y" * 70 for i in range(60)]
+    e = id_store.Encoder(vocabulary(WORD_VOCABULARY))
+    assert [e(t) for t in texts] == [e._whole(t) for t in texts] and len(e.names) < 200
+
+
+def test_a_stored_document_is_read_alone(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(id_store, "SHARD_BYTES", 200)
+    path = vocabulary(WORD_VOCABULARY)
+    id_store.write_shards(docs.select("doc_id", "text"), path, str(tmp_path / "ids"), range_rows=4, shard_bytes=200)
+    assert spark.read.parquet(str(tmp_path / "ids/shards")).count() > 4
+    e = id_store.encoder(path)
+    for doc_id in (0, 3, 9, 30):
+        want = sorted(e._whole(r[1] or "") + b"\2\0\0\0" for r in corpus() if r[0] == doc_id)
+        assert sorted(x.tobytes() for x in id_store.read_document(spark, str(tmp_path / "ids"), doc_id)) == want
+    assert id_store.read_document(spark, str(tmp_path / "ids"), 1) == []
+
+
+def test_ranges_of_many_cut_points(spark):
+    for cuts in ([], [5], list(range(0, 9000, 7)), [-3, 0, 2**40]):
+        df = spark.createDataFrame([(x,) for x in (-5, -3, 0, 1, 6, 7, 8, 4500, 8999, 9000, 2**41)], "v long")
+        got = df.select("v", _common.range_of("v", cuts).alias("r")).collect()
+        assert [r["r"] for r in got] == [int(np.searchsorted(cuts, r["v"], "right")) for r in got]
+
+
 def test_shard_reads_one_document():
     import zstandard
 
