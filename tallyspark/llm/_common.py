@@ -6,8 +6,11 @@ import atexit
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +38,28 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL[0].name
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2048) -> Iterator[None]:
+    """What is run within sends at most so many rows at once to Python: a bound on workers' memory, results do not change."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def release() -> None:
+    """Gives memory of past Arrow batches back to the system: idle workers stay beside busy executors."""
+    pa.default_memory_pool().release_unused()
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import cut_points, scratch_root
+from ._common import cut_points, release, scratch_root, small_batches
 
 MAGIC, END = b"TIDS0001", 2
 #: Documents of a range and bytes of a shard, about; documents the dictionary is trained on, and its bytes.
-RANGE_ROWS, SHARD_BYTES, SAMPLE, DICT_BYTES, LEVEL = 8192, 4 << 20, 1000, 64 << 10, 3
+RANGE_ROWS, SHARD_BYTES, SAMPLE, DICT_BYTES, LEVEL = 8192, 1 << 20, 1000, 64 << 10, 3
 #: Bytes of text that are encoded together; bytes of a part of a sampled document, and most parts of one that the dictionary is trained on.
 TOGETHER, PART, PARTS = 4 << 20, 16 << 10, 4
 NO_ID = -(2**63)
@@ -240,6 +240,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end: int = END, range_row
                 doc_id = b.column(0)
                 part = np.where(doc_id.is_null(), -1, np.searchsorted(starts, pc.fill_null(doc_id, 0).to_numpy(zero_copy_only=False), "right")).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(part), doc_id, n, pa.array(list(map(squeeze, ids)), pa.binary())], names=["part", "doc_id", "n", "frame"])
+            release()
 
     def shards(batches):
         part, number, size, held = None, 0, 0, []
@@ -261,7 +262,8 @@ def write_shards(docs: DataFrame, path: str, out: str, end: int = END, range_row
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.mapInArrow(frames, "part long, doc_id long, n long, frame binary").repartition(len(cuts) + 1, "part")
     dealt = dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "frame")
-    dealt.mapInArrow(shards, "part long, number long, first long, last long, tokens long, shard binary").write.parquet(f"{out}/shards")
+    with small_batches(spark):
+        dealt.mapInArrow(shards, "part long, number long, first long, last long, tokens long, shard binary").write.parquet(f"{out}/shards")
     return dictionary
 
 
