@@ -4,9 +4,10 @@ The model file gives pieces with scores; nothing is trained. A text is escaped (
 cut into units that no piece of the vocabulary crosses. Within a unit an agenda holds the candidate merges, best score first,
 leftmost first among equals; a candidate that is popped and still fits is skipped for good with the dropout rate. Each occurrence
 of a unit in each document has draws of its own, hashed from the seed, doc_id and its place: how many candidates are
-taken before the next one is skipped. What a unit gives depends on the places of its skipped candidates alone, so the
-results for (unit, places) are remembered, and made for units of one length together in arrays, a row each. Characters outside
-the vocabulary, and U+2581 itself, become byte pieces, so decoding gives every text back exactly.
+taken before the next one is skipped. What a unit gives depends on the places of its skipped candidates alone, so for units that
+stand more than once in texts at hand the results for (unit, places) are remembered; a unit that stands once is merged with its own
+places. Units of one length are merged together in arrays, a row each. Characters outside the vocabulary, and U+2581 itself,
+become byte pieces, so decoding gives every text back exactly.
 """
 
 from __future__ import annotations
@@ -15,22 +16,25 @@ import heapq
 import math
 import re
 import unicodedata
-import zlib
 from bisect import bisect_right
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, compress, groupby
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: Share of candidate merges that are skipped, the key, and over how many streams of draws documents are dealt (None: each has its own).
-DROPOUT, SEED, VARIANTS = 0.1, 7, None
-#: Characters of texts that are encoded together, of a unit that is merged among others, and the fewest units of one length for that.
+from ._common import release
+
+#: Share of candidate merges that are skipped, and the key.
+DROPOUT, SEED = 0.1, 7
+#: Bytes of texts that are encoded together; characters of a unit that is merged among others, and the fewest units of one length for that.
 TOGETHER, LONG, FEW = 1 << 22, 64, 12
+#: Bytes of results that are remembered (HELD: what each takes beside its unit and ids).
+MEMORY, HELD = 64 << 20, 320
 #: No candidate is skipped from here on.
 NEVER = 1 << 20
 SPACE = "▁"
@@ -53,76 +57,70 @@ def _mixed(h):
 _PLACE, _DRAW = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
+def _gather(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ids by their starts and sizes, one after the other, and where each ends."""
+    ends = np.cumsum(size)
+    return ids[np.repeat(start - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+
+class _Made(NamedTuple):
+    """Ids of results one after the other, and of each how many there are and how many candidates were popped that still fit."""
+
+    ids: np.ndarray
+    size: np.ndarray
+    pops: np.ndarray
+
+
 class _Memory:
-    """Results by number, remembered: of units by the places of their skipped candidates, `most` and those of one batch at most."""
+    """Results by number, remembered: of units by the places of their skipped candidates."""
 
-    def __init__(self, make: Callable[[list[tuple[str, tuple]]], list[tuple[bytes, int]]], most: int):
+    def __init__(self, make: Callable[[list[str], np.ndarray, np.ndarray], _Made], most: int):
         self.make, self.most = make, most
         self.clear()
 
     def clear(self) -> None:
-        self.n = self.used = self.heavy = 0
         self.whole: dict[str, int] = {}
         self.further: dict[int, int] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
         self.units: list[str] = []
         self.skips: list[tuple[int, ...]] = []
-        self.long: list[str] = []
-        self.pops, self.start, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, "<u4")
-
-    def fit(self) -> None:
-        if max(self.n, len(self.words)) > self.most or self.heavy > TOGETHER:
-            self.clear()
+        self.held, self.made, self.start = 0, _Made(np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros(0, np.int64)
 
-    def put(self, made: list[tuple[bytes, int]], keys: list[tuple[str, tuple]]) -> range:
+    def _put(self, units: list[str], skips: list[tuple[int, ...]]) -> range:
         """Numbers of new results."""
-        end, sizes = self.n + len(made), np.array([len(x) // 4 for x, _ in made], np.int64)
-        while end > len(self.pops):
-            self.pops, self.start, self.size = (np.append(x, np.zeros_like(x)) for x in (self.pops, self.start, self.size))
-        last = self.used + int(sizes.sum())
-        if last > len(self.ids):
-            self.ids = np.append(self.ids, np.zeros(max(len(self.ids), last), "<u4"))
-        self.ids[self.used : last] = np.frombuffer(b"".join([x for x, _ in made]), "<u4")
-        new = slice(self.n, end)
-        self.pops[new], self.size[new], self.start[new] = [n for _, n in made], sizes, self.used + np.cumsum(sizes) - sizes
-        self.units += [u for u, _ in keys]
-        self.skips += [k for _, k in keys]
-        out = range(self.n, end)
-        self.n, self.used = end, last
+        sizes = np.fromiter(map(len, skips), np.int64, len(skips))
+        new = self.make(units, np.repeat(np.arange(len(units)), sizes), np.fromiter(chain.from_iterable(skips), np.int64))
+        out = range(len(self.units), len(self.units) + len(units))
+        self.start = np.append(self.start, len(self.made.ids) + np.cumsum(new.size) - new.size)
+        self.made = _Made(*map(np.append, self.made, new))
+        self.units += units
+        self.skips += skips
+        self.held += sum(map(len, units)) + 4 * len(new.ids) + HELD * len(units)
         return out
 
-    def of(self, units: Iterable[str]) -> Callable[[str], int]:
-        """Gives the numbers of these units without skips; of a long unit, which is not remembered, -1 less its place in `long`."""
-        new = [u for u in set(units) if u not in self.whole]
-        for u in new:
-            if len(u) > LONG:
-                self.long.append(u)
-                self.whole[u] = -len(self.long)
-                self.heavy += len(u)
-        keys = [(u, ()) for u in new if len(u) <= LONG]
-        self.whole.update(zip([u for u, _ in keys], self.put(self.make(keys), keys), strict=True))
-        return self.whole.__getitem__
+    def learn(self, units: list[str]) -> range:
+        """Numbers of new units without skips."""
+        out = self._put(units, [()] * len(units))
+        self.whole.update(zip(units, out, strict=True))
+        return out
 
     def skipped(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Numbers of the same with one more skip, at a later place."""
         pairs, back = np.unique(at << 8 | place, return_inverse=True)
         pairs = pairs.tolist()
         new = [x for x in pairs if x not in self.further]
-        keys = [(self.units[x >> 8], (*self.skips[x >> 8], x & 255)) for x in new]
-        self.further.update(zip(new, self.put(self.make(keys), keys), strict=True))
-        return np.array([self.further[x] for x in pairs], np.int64)[back]
+        if new:
+            self.further.update(zip(new, self._put([self.units[x >> 8] for x in new], [(*self.skips[x >> 8], x & 255) for x in new]), strict=True))
+        return np.fromiter(map(self.further.__getitem__, pairs), np.int64, len(pairs))[back]
 
 
 class Codec:
     """Encodes and decodes with one model file."""
 
-    MEMORY = 800_000
-
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.seed, self.variants = seed, variants
+        self.seed = seed
         # a draw below the k-th of these: k candidates at most are taken before the next skip
         steps = min(1 << 16, int(32 * math.log(2) / -math.log1p(-dropout)) + 2) if 0 < dropout < 1 else int(dropout >= 1)
         self.limits = np.array([round((1 - (1 - dropout) ** k) * 2**32) for k in range(1, steps + 1)], np.uint64)
@@ -143,10 +141,12 @@ class Codec:
                 self.order[piece] = -sp.get_score(i)
                 self.pieces[i] = piece.replace(SPACE, " ").encode()
         self.number = {p: np.array([i], "<u4").tobytes() for p, i in self.ids.items()}
-        self.units = re.compile(self._pattern()).findall
-        # words between single spaces (a line break begins a word) are units by themselves if no piece holds a line break
-        self.by_word = len(self._pattern()) > 6 and not any("\n" in p for p in self.ids)
-        self.words = [_Memory(self._made, self.MEMORY)]
+        own = self._apart()
+        self.units = re.compile(r"(?s).+" if own is None else self._pattern(own, "")).findall
+        # words between single spaces (a line break begins a word) are cut by themselves if no piece holds a line break
+        self.by_word = own is not None and not any("\n" in p or "\0" in p for p in self.ids)
+        self.cut = re.compile(self._pattern(own or "", "\0") + "|\0").findall
+        self.memory = _Memory(self._made, MEMORY)
         self._tables()
 
     def _tables(self) -> None:
@@ -166,17 +166,21 @@ class Codec:
         at = np.argsort(key)
         self.pair, self.makes = np.append(key[at], np.iinfo(np.int64).max), np.append(makes[at], -1)
 
-    def _pattern(self) -> str:
-        """Units: runs of characters between which some piece may reach."""
+    def _apart(self) -> str | None:
+        """Characters that no piece joins with others; None if pieces reach over spaces."""
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
-            return r"(?s).+"
+            return None
         letter = lambda c: unicodedata.category(c)[0] in "LM"
         pairs = {p for piece in self.ids for p in zip(piece.lstrip(SPACE), piece.lstrip(SPACE)[1:], strict=False)}
         apart = {c for piece in self.ids for c in piece if not letter(c) and c != SPACE}
         while reach := {c for pair in pairs for c in pair if c in apart and not set(pair) <= apart}:
             apart -= reach
-        own = re.escape("".join(sorted(apart)))
-        return rf"{SPACE}*[{own}]+|{SPACE}*[^{own}{SPACE}]+|{SPACE}+" if apart else rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
+        return "".join(sorted(apart))
+
+    def _pattern(self, apart: str, never: str) -> str:
+        """Units: runs of characters between which some piece may reach, without those in never."""
+        own = re.escape(apart)
+        return rf"{SPACE}*+[^{own}{SPACE}{never}]+|" + (rf"{SPACE}*+[{own}]+|" if apart else "") + rf"{SPACE}+"
 
     def _places(self, key: int) -> Iterator[int]:
         """Places of an occurrence's skipped candidates among those that are popped and still fit, ascending."""
@@ -227,9 +231,9 @@ class Codec:
         number = self.number
         return b"".join([number[s] if s in number else b"".join([self.bytes[x] for x in s.encode("utf-8", "surrogatepass")]) for s in symbols])
 
-    def _key(self, v: int) -> int:
-        """Seed of the draws of a document, or of a stream of several."""
-        return xxhash.xxh3_64_intdigest(f"{self.seed}:{v}")
+    def _key(self, doc_id: int | None) -> int:
+        """Seed of a document's draws."""
+        return xxhash.xxh3_64_intdigest(f"{self.seed}:{doc_id}")
 
     def _piece(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two pieces make, -1 if none."""
@@ -237,62 +241,102 @@ class Codec:
         at = np.searchsorted(self.pair, key)
         return np.where(self.pair[at] == key, self.makes[at], -1)
 
-    def _made(self, keys: list[tuple[str, tuple]]) -> list[tuple[bytes, int]]:
-        """_run of different units and skips: those of one length merged together, few or odd ones (characters outside the vocabulary) one by one."""
-        out, alone = {}, []
-        for n, group in groupby(sorted(keys, key=lambda k: len(k[0])), lambda k: len(k[0])):
-            same = list(group)
-            if 1 < n and len(same) >= FEW:
-                first = self.letter[np.frombuffer("".join([u for u, _ in same]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)]
-                plain = (first >= 0).all(axis=1)
-                if not plain.all():
-                    alone += compress(same, ~plain)
-                    same, first = list(compress(same, plain)), first[plain]
-                for at in range(0, len(same), 8192):  # rows that stay in the processor's memory
-                    some = same[at : at + 8192]
-                    out.update(zip(some, self._agendas(first[at : at + 8192], [k for _, k in some]), strict=True))
-            else:
-                alone += same
-        out.update((k, self._run(k[0], iter(k[1]))) for k in alone)
-        return [out[k] for k in keys]
-
-    def _merge_all(self, units: Iterable[str], v: int) -> dict[str, bytes]:
-        """Ids of different units, each with draws of its own."""
-        units, seed, memory = list(units), self._key(v), self.words[0]
-        keys = np.array([xxhash.xxh3_64_intdigest(u.encode("utf-8", "surrogatepass"), seed) for u in units], np.uint64)
-        at = self._drawn(np.array(list(map(memory.of(units), units)), np.int64), keys)
-        ids, ends = self._ids(at)
-        return {u: ids[x:y].tobytes() for u, x, y in zip(units, [0, *ends.tolist()], ends.tolist(), strict=False)}
+    def _made(self, units: list[str], row: np.ndarray, place: np.ndarray) -> _Made:
+        """_run of units, the places of their skips by row: those of one length merged together, few or odd ones (long, or of characters outside the vocabulary) one by one."""
+        n = np.fromiter(map(len, units), np.int64, len(units))
+        if not units:
+            return _Made(np.zeros(0, "<u4"), n, n)
+        order = np.argsort(n, kind="stable")
+        to = np.empty(len(n), np.int64)
+        to[order] = np.arange(len(n))
+        row = to[row]
+        at = np.lexsort((place, row))
+        row, place = row[at], place[at]
+        units, n = [units[i] for i in order.tolist()], n[order]
+        rows, parts = [], []
+
+        def alone(some: np.ndarray) -> None:
+            ends = np.searchsorted(row, np.append(some, some + 1)).reshape(2, -1)
+            found = [self._run(units[i], iter(place[x:y].tolist())) for i, x, y in zip(some.tolist(), *ends.tolist(), strict=True)]
+            rows.append(some)
+            parts.append(_Made(np.frombuffer(b"".join([x for x, _ in found]), "<u4"), np.array([len(x) // 4 for x, _ in found], np.int64), np.array([p for _, p in found], np.int64)))
+
+        lengths, first = np.unique(n, return_index=True)
+        for length, x, y in zip(lengths.tolist(), first.tolist(), [*first[1:].tolist(), len(n)], strict=True):
+            if not 1 < length <= LONG or y - x < FEW:
+                alone(np.arange(x, y))
+                continue
+            symbol = self.letter[np.frombuffer("".join(units[x:y]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length)]
+            plain = (symbol >= 0).all(axis=1)
+            if not plain.all():
+                alone(x + np.flatnonzero(~plain))
+            skip = np.zeros((y - x, 3 * length), bool)
+            a, z = np.searchsorted(row, (x, y))
+            skip[row[a:z] - x, np.minimum(place[a:z], 3 * length - 1)] = True
+            skip[:, -1] = False
+            here = np.flatnonzero(plain)
+            for k in range(0, len(here), 8192):  # rows that stay in the processor's memory
+                some = here[k : k + 8192]
+                rows.append(x + some)
+                parts.append(self._agendas(symbol[some], skip[some]))
+        done, made = np.concatenate(rows), _Made(*map(np.concatenate, zip(*parts, strict=True)))
+        back = np.empty(len(done), np.int64)
+        back[order[done]] = np.arange(len(done))
+        ids, _ = _gather(made.ids, (np.cumsum(made.size) - made.size)[back], made.size[back])
+        return _Made(ids, made.size[back], made.pops[back])
+
+    def _draws(self, keys: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and places of all skips that come before a bound, of occurrences by their keys."""
+        left, place, r = np.arange(len(keys)), np.full(len(keys), -1), 1
+        rows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(left):
+            place[left] += 1 + self._gap(keys[left], r)
+            left = left[place[left] < bound[left]]
+            rows.append(left)
+            places.append(place[left])
+            r += 1
+        return np.concatenate(rows), np.concatenate(places)
+
+    def _gap(self, keys: np.ndarray, r: int) -> np.ndarray:
+        """How many candidates are taken before an occurrence's r-th skip, since the one before."""
+        return self.gaps[np.searchsorted(self.limits, _mixed(keys + np.uint64(r * _DRAW & _MASK)) >> np.uint64(32), "right")]
 
     def _drawn(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Numbers of results by those of units without skips and by keys, for each occurrence."""
-        memory = self.words[0]
-        for k in np.flatnonzero(at < 0).tolist():
-            u = memory.long[-1 - int(at[k])]
-            (at[k],) = memory.put([(self._merge(u, int(keys[k])), 0)], [("", ())])
-            memory.heavy += len(u)
+        """Numbers of remembered results by those of units without skips and by keys, for each occurrence."""
+        memory = self.memory
         left, place, r = np.arange(len(at)), np.full(len(at), -1), 1
         while len(left):
-            h = _mixed(keys[left] + np.uint64(r * _DRAW & _MASK)) >> np.uint64(32)
-            place[left] += 1 + self.gaps[np.searchsorted(self.limits, h, "right")]
-            left = left[place[left] < memory.pops[at[left]]]
+            place[left] += 1 + self._gap(keys[left], r)
+            left = left[place[left] < memory.made.pops[at[left]]]
             if len(left):
                 at[left] = memory.skipped(at[left], place[left])
             r += 1
         return at
 
-    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of results one after the other, and where each ends."""
-        memory = self.words[0]
-        sizes = memory.size[at]
-        ends = np.cumsum(sizes)
-        return memory.ids[np.repeat(memory.start[at] - ends + sizes, sizes) + np.arange(int(sizes.sum()))], ends
-
-    def _agendas(self, symbol: np.ndarray, skips: list[tuple]) -> list[tuple[bytes, int]]:
+    def _results(self, units: list[str], at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of occurrences of different units, by their places in the list and their keys, and where each occurrence's end."""
+        memory = self.memory
+        if memory.held > memory.most:
+            memory.clear()
+        number = np.fromiter(map(memory.whole.get, units, repeat(-1)), np.int64, len(units))
+        n = np.fromiter(map(len, units), np.int64, len(units))
+        once = (number < 0) & ((np.bincount(at, minlength=len(units)) == 1) | (n > LONG))
+        new = np.flatnonzero((number < 0) & ~once)
+        number[new] = memory.learn([units[i] for i in new.tolist()])
+        alone = once[at]
+        own = np.flatnonzero(alone)
+        made = self._made([units[i] for i in at[own].tolist()], *self._draws(keys[own], 3 * n[at[own]]))
+        again = np.flatnonzero(~alone)
+        known = self._drawn(number[at[again]], keys[again])
+        start, size = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        start[again], size[again] = memory.start[known], memory.made.size[known]
+        start[own], size[own] = len(memory.made.ids) + np.cumsum(made.size) - made.size, made.size
+        return _gather(np.append(memory.made.ids, made.ids), start, size)
+
+    def _agendas(self, symbol: np.ndarray, skip: np.ndarray) -> _Made:
         """As _run, over a unit in each row: a row's agenda is the rank of what each symbol and its next one make."""
         rows, n = symbol.shape
-        skip, pops = np.zeros((rows, 3 * n), bool), np.zeros(rows, np.int64)
-        skip[np.repeat(np.arange(rows), [len(k) for k in skips]), np.fromiter(chain.from_iterable(skips), np.int64)] = True
+        pops = np.zeros(rows, np.int64)
         symbol = symbol.astype(np.int64)
         after, before = np.tile(np.arange(1, n + 1), (rows, 1)), np.tile(np.arange(-1, n - 1), (rows, 1))
         piece = np.full((rows, n), -1)
@@ -318,53 +362,63 @@ class Codec:
                 made = self._piece(symbol[b, left[has]], symbol[b, right[has]])
                 piece[b, at], agenda[b, at] = made, self.rank[made]
         left = symbol >= 0
-        ids = self.vocabulary_id[symbol[left]].tobytes()
-        ends = (4 * np.cumsum(left.sum(axis=1))).tolist()
-        return [(ids[x:y], n) for x, y, n in zip([0, *ends], ends, pops.tolist(), strict=False)]
+        return _Made(self.vocabulary_id[symbol[left]], left.sum(axis=1), pops)
 
-    def variant(self, doc_id: int | None) -> int | None:
-        return doc_id if self.variants is None else zlib.crc32(f"{self.seed}:{doc_id}".encode()) % self.variants
-
-    def _cut(self, words: list[str]) -> Iterator[list[str]]:
-        """Units of words; a word of letters is one unit."""
-        return ([SPACE + w] if w.isalpha() else self.units(w if w[:1] == "\n" else SPACE + w) for w in words)
-
-    def encode_all(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes]:
-        """Ids of each text as little-endian u32."""
-        memory = self.words[0]
-        memory.fit()
-        parts: dict[int, list[str]] = {}
-        odd: set[int] = set()
+    def _units(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Different units, the units of each text by number, one after the other, and how many each text has."""
+        plain, odd = [], []
         for k, text in enumerate(texts):
-            if not text:
-                continue
             spaced = text.replace("\n", " \n")
-            if self.by_word and SPACE not in spaced and "  " not in spaced and spaced[0] != " " and spaced[-1] != " ":
-                parts[k] = spaced.split(" ")
+            if self.by_word and text and SPACE not in text and "\0" not in text and "  " not in spaced and spaced[0] != " " and spaced[-1] != " ":
+                plain.append((k, spaced))
             else:
-                odd.add(k)
-                units: list[str] = []
-                for q, part in enumerate(text.split(SPACE)):
+                odd.append(k)
+        cut = pc.split_pattern(pa.array([t for _, t in plain], pa.string()), " ")
+        words = cut.flatten().dictionary_encode()
+        found: list[str] = []
+        if plain:
+            # each word with its space before it (a line break has none) and a mark after it
+            whole = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), f"\0{SPACE}")[0].as_py()
+            found = self.cut(f"{SPACE}{whole}\0".replace(f"{SPACE}\n", "\n"))
+        marks = len(found)
+        sizes = np.zeros(len(texts), np.int64)
+        for k in odd:
+            units: list[str] = []
+            for q, part in enumerate(texts[k].split(SPACE)):
+                if texts[k]:
                     units += ["", *self.units(part.replace(" ", SPACE))] if q else self.units(SPACE + part.replace(" ", SPACE))
-                parts[k] = units
-        words = list(set().union(*(w for k, w in parts.items() if k not in odd)).difference(memory.words))
-        cut = list(self._cut(words))
-        number = memory.of({*chain.from_iterable(cut), *chain.from_iterable(parts[k] for k in odd)})
-        memory.words.update((w, tuple(map(number, units))) for w, units in zip(words, cut, strict=True))
-        known = memory.words.__getitem__
-        found = [np.fromiter(map(number, w) if k in odd else chain.from_iterable(map(known, w)), np.int64) for k, w in parts.items()]
-        sizes = np.array([len(x) for x in found], np.int64)
-        key = np.array([self._key(self.variant(doc_ids[k])) for k in parts], np.uint64)
-        if not len(key):
-            return [b""] * len(texts)
+            sizes[k] = len(units)
+            found += units
+        names = dict.fromkeys(found)
+        names.pop("\0", None)
+        names = {u: i for i, u in enumerate(names)}
+        names["\0"] = -1
+        number = np.fromiter(map(names.__getitem__, found), np.int64, len(found))
+        del names["\0"]
+        ends = np.flatnonzero(number[:marks] < 0)
+        start, size = np.append(0, ends[:-1] + 1), np.diff(ends, prepend=-1) - 1
+        at = words.indices.to_numpy().astype(np.int64)
+        of_plain, word_ends = _gather(number, start[at], size[at]) if plain else (number[:0], ends)
+        if plain:
+            ends = word_ends[np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False)) - 1]
+            sizes[[k for k, _ in plain]] = np.diff(ends, prepend=0)
+        # in the order of the texts
+        source, first = np.append(of_plain, number[marks:]), np.zeros(len(texts), np.int64)
+        order = np.array([k for k, _ in plain] + odd, np.int64)
+        first[order] = np.cumsum(sizes[order]) - sizes[order]
+        return list(names), _gather(source, first, sizes)[0], sizes
+
+    def encode_all(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes]:
+        """Ids of each text as little-endian u32."""
+        if not texts:
+            return []
+        units, at, sizes = self._units([t or "" for t in texts])
+        key = np.array([self._key(d) for d in doc_ids], np.uint64)
         first = np.cumsum(sizes) - sizes
-        place = (np.arange(int(sizes.sum())) - np.repeat(first, sizes) + 1).astype(np.uint64)
-        ids, ends = self._ids(self._drawn(np.concatenate(found), _mixed(np.repeat(key, sizes) + place * np.uint64(_PLACE))))
-        ends = np.append(0, ends)[first + sizes]
-        out = [b""] * len(texts)
-        for k, x, y in zip(parts, [0, *ends.tolist()], ends.tolist(), strict=False):
-            out[k] = ids[x:y].tobytes()
-        return out
+        place = (np.arange(len(at)) - np.repeat(first, sizes) + 1).astype(np.uint64)
+        ids, ends = self._results(units, at, _mixed(np.repeat(key, sizes) + place * np.uint64(_PLACE)))
+        ends = np.append(0, ends)[first + sizes].tolist()
+        return [ids[x:y].tobytes() for x, y in zip([0, *ends], ends, strict=False)]
 
     def encode(self, text: str | None, doc_id: int | None = None) -> bytes:
         return self.encode_all([text], [doc_id])[0]
@@ -383,7 +437,7 @@ def codec(*options) -> Codec:
     return _CODECS[options]
 
 
-def encode_documents(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id, n_tokens, ids, intact (the ids decode to the text), a row for each row of docs.
 
     Null and empty texts have no ids, and decode to an empty text. Rows of one doc_id and text have equal ids; a null
@@ -391,7 +445,7 @@ def encode_documents(docs: DataFrame, path: str, dropout: float = DROPOUT, seed:
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, dropout, seed, variants)
+        c = codec(path, dropout, seed)
         for whole in batches:
             sizes, at = np.cumsum([x or 0 for x in pc.binary_length(whole.column(1)).to_pylist()]), 0
             while at < whole.num_rows:
@@ -404,5 +458,6 @@ def encode_documents(docs: DataFrame, path: str, dropout: float = DROPOUT, seed:
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), lists, pa.array(intact)], names=["doc_id", "n_tokens", "ids", "intact"])
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(encoded, "doc_id long, n_tokens long, ids array<int>, intact boolean")

@@ -112,26 +112,31 @@ def test_pieces_equal_library_without_dropout_and_decode_with_it(spark, docs):
     sp, c = sentencepiece.SentencePieceProcessor(model_file=path), piece_codec.Codec(path, 0.0)
     for t in ("Hello world, it's 12.5%!", " lead", "trail ", "a  b\n\nc", "日本語 naïve", "l'été", "\n", "   "):
         assert np.frombuffer(c.encode(t), "<u4").tolist() == sp.encode(t)
-    one, two = piece_codec.Codec(path, 0.3, 1, 1), piece_codec.Codec(path, 0.3, 2, 1)
+    one, two = piece_codec.Codec(path, 0.3, 1), piece_codec.Codec(path, 0.3, 2)
     text = "tokenization of internationalization and understanding"
-    assert one.encode(text) != two.encode(text) and one.encode(text) == piece_codec.Codec(path, 0.3, 1, 1).encode(text)
+    assert one.encode(text) != two.encode(text) and one.encode(text) == piece_codec.Codec(path, 0.3, 1).encode(text)
     out = piece_codec.encode_documents(docs, path).collect()
     assert len(out) == docs.count() and all(r["intact"] and r["n_tokens"] == len(r["ids"]) for r in out)
 
 
 def test_units_merged_together_equal_units_merged_alone():
     c, rng = piece_codec.Codec(vocabulary(PIECE_VOCABULARY), 0.2), random.Random(5)
-    units = list({"".join(rng.choice("▁aeinrstdlou") for _ in range(rng.randint(1, 12))) for _ in range(3000)} | {"☃" * 3, "a☃b", "x" * 200})
-    for v in range(2):
-        assert c._merge_all(units, v) == {u: c._merge(u, xxhash.xxh3_64_intdigest(u.encode(), c._key(v))) for u in units}
-
-
-def test_pieces_do_not_depend_on_what_is_remembered():
-    path, texts = vocabulary(PIECE_VOCABULARY), [" ".join(random.Random(i).choices(WORDS, k=40)) + f" odd{i} " + "y" * 70 for i in range(60)]
+    units = list({"".join(rng.choice("▁aeinrstdlou") for _ in range(rng.randint(1, 12))) for _ in range(3000)} | {"", "☃" * 3, "a☃b", "x" * 200})
+    at = np.array([i for i in range(len(units)) for _ in range(1 + i % 3)])  # some once, some again
+    for _ in range(2):
+        keys = np.array([rng.randrange(2**64) for _ in at], np.uint64)
+        ids, ends = c._results(units, at, keys)
+        ends = [0, *ends.tolist()]
+        assert [ids[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)] == [c._merge(units[i], k) for i, k in zip(at.tolist(), keys.tolist(), strict=True)]
+
+
+def test_pieces_do_not_depend_on_what_is_remembered_or_read_together():
+    path, rng = vocabulary(PIECE_VOCABULARY), random.Random(5)
+    odd = ["", None, " lead", "trail ", "a  b\n\nc", "\n", "x\n y", "▁ raw ▁▁", "nul\0nul", "日本語 ☃ x" + "y" * 70, "l'été, 12.5%! (ok)", "tab\tbed \r\n"]
+    texts = [" ".join(rng.choices(WORDS, k=40)) + f" odd{i} " + rng.choice(odd[2:]) for i in range(60)] + odd
     c = piece_codec.Codec(path)
-    for m in c.words:
-        m.most = 20
-    assert [c.encode(t, i) for i, t in enumerate(texts)] == piece_codec.Codec(path).encode_all(texts, list(range(60)))
+    c.memory.most = 20
+    assert [c.encode(t, i) for i, t in enumerate(texts)] == piece_codec.Codec(path).encode_all(texts, list(range(len(texts))))
 
 
 def test_words_are_cut_anew_in_each_document():
