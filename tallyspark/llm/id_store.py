@@ -29,9 +29,9 @@ from ._common import cut_points, release, scratch_root, small_batches
 
 MAGIC, END = b"TIDS0001", 2
 #: Documents of a range and bytes of a shard, about; documents the dictionary is trained on, and its bytes.
-RANGE_ROWS, SHARD_BYTES, SAMPLE, DICT_BYTES, LEVEL = 8192, 1 << 20, 1000, 64 << 10, 3
+RANGE_ROWS, SHARD_BYTES, SAMPLE, DICT_BYTES, LEVEL = 8192, 256 << 10, 1000, 64 << 10, 3
 #: Bytes of text that are encoded together; bytes of a part of a sampled document, and most parts of one that the dictionary is trained on.
-TOGETHER, PART, PARTS = 4 << 20, 16 << 10, 4
+TOGETHER, PART, PARTS = 1 << 20, 16 << 10, 4
 NO_ID = -(2**63)
 
 # The vocabulary's pattern for words, over characters whose case and class are settled (no control characters, no ² ³ ¹ ¼ ½ ¾, which are numbers).
@@ -49,7 +49,7 @@ class Encoder:
     """
 
     #: Bytes of pieces that are remembered (HELD: what each takes beside its letters and ids); beyond it, those of the texts at hand stay.
-    MEMORY, HELD = 64 << 20, 200
+    MEMORY, HELD = 48 << 20, 200
 
     def __init__(self, path: str, end: int = END):
         from tokenizers import Tokenizer
