@@ -31,64 +31,100 @@ def _malformed(c: Column, least: int) -> Column:
 
 
 def categories(rows: DataFrame) -> DataFrame:
-    """category (REFUND, FX or TXN, in that order) and the normalised keys."""
-    kind = F.upper(F.coalesce("txn_type", F.lit("")))
-    refund = kind.rlike("REFUND|REVERSAL") | ((F.upper(F.coalesce("debit_credit", F.lit(""))) == "CREDIT") & F.coalesce(F.col("amount") < 0, F.lit(False)))
-    a, b = F.coalesce("from_currency", F.lit("")), F.coalesce("to_currency", F.lit(""))
+    """category (REFUND, FX or TXN, in that order) and the normalised keys. Columns that are missing count as blank."""
+    have = set(rows.columns)
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in have else F.lit("")
+    kind = F.upper(text("txn_type"))
+    refund = kind.rlike("REFUND|REVERSAL") | ((F.upper(text("debit_credit")) == "CREDIT") & F.coalesce(F.col("amount") < 0, F.lit(False)))
+    a, b = F.upper(F.trim(text("from_currency"))), F.upper(F.trim(text("to_currency")))
     fx = (a != "") & (b != "") & (a != b) & F.col("exchange_rate").isNotNull() & F.col("reference_rate").isNotNull() & F.coalesce(F.col("reference_rate") != 0, F.lit(False))
-    fx = fx & ((F.coalesce("conversion_id", F.lit("")) != "") | kind.rlike("FX|CONVERSION|SPOT|FORWARD|SWAP"))
+    fx = fx & ((F.trim(text("conversion_id")) != "") | (F.trim(text("treasury_rate_reference")) != "") | kind.rlike("FX|CONVERSION|SPOT|FORWARD|SWAP"))
     out = rows.withColumns({"id": match_id(F.col("txn_id")), "sref": match_id(F.col("settlement_reference")), "link": match_id(F.col("link_reference"))})
     return out.withColumn("category", F.when(refund, "REFUND").when(fx, "FX").otherwise("TXN"))
 
 
-def _candidates(rows: DataFrame, probe: DataFrame, key: str) -> DataFrame:
-    """Rows that a probe's key meets by transaction id (priority 1) or settlement reference (2), itself excluded, each partner once."""
-    side = lambda k, prio: rows.where(F.col(k) != "").select(F.col(k).alias("k"), F.lit(prio).alias("prio"), F.col("row_id").alias("p_row"), F.col("amount").alias("p_amount"), F.col("ts").alias("p_ts"), F.col("currency").alias("p_currency"), F.col("customer_id").alias("p_customer"), F.col("txn_id").alias("p_txn"))
-    index = side("id", 1).unionByName(side("sref", 2))
-    met = probe.join(index, probe[key] == index["k"]).where("row_id != p_row")
-    best = W.partitionBy("row_id", "p_row").orderBy("prio")
-    return met.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "k")
+#: Rows of a group of candidates that are looked at: the probe itself and two others tell none, one and many apart.
+FEW = 3
 
 
-def _prefer(df: DataFrame, flag: Column) -> DataFrame:
-    """Of each row's candidates, those with the flag, if any has it."""
-    df = df.withColumn("_f", F.coalesce(flag, F.lit(False)))
-    return df.withColumn("_any", F.max("_f").over(W.partitionBy("row_id"))).where("_f OR NOT _any").drop("_f", "_any")
+def _index(rows: DataFrame, groups: Column) -> DataFrame:
+    """k, prio, g, p_*: rows by transaction id (prio 1) or settlement reference (2, unless it is the id), under each of their groups;
+    of each group the FEW smallest rows, so that a key shared by many rows meets none of its probes with all of them."""
+    part = [F.col("row_id").alias("p_row"), F.col("amount").alias("p_amount"), F.col("ts").alias("p_ts"), F.explode(groups).alias("g")]
+    by = rows.where("id != ''").select(F.col("id").alias("k"), F.lit(1).alias("prio"), *part)
+    by = by.unionByName(rows.where("sref != '' AND sref != id").select(F.col("sref").alias("k"), F.lit(2).alias("prio"), *part))
+    return by.withColumn("at", F.row_number().over(W.partitionBy("k", "prio", "g").orderBy("p_row"))).where(F.col("at") <= FEW).drop("at")
+
+
+_BEST = ["p_row", "p_amount", "p_ts"]
+
+
+def _tally(name: str, where: Column) -> list[Column]:
+    """Of a probe's candidates: how many there are, and the first."""
+    return [F.count_if(where).alias(f"n_{name}"), F.min(F.when(where, F.struct(*_BEST))).alias(f"b_{name}")]
+
+
+def _choose(met: DataFrame, names: list[str]) -> DataFrame:
+    """row_id, count, best: of the first of these groups that holds a candidate."""
+    some = [F.when(F.col(f"n_{n}") > 0, F.struct(F.col(f"n_{n}").alias("n"), F.col(f"b_{n}").alias("b"))) for n in names]
+    return met.select("row_id", F.coalesce(*some).alias("x")).where("x IS NOT NULL").select("row_id", F.col("x.n").alias("count"), "x.b.*")
 
 
 def _decide(probe: DataFrame, found: DataFrame, empty, bad, missing, many, levels, ok_time) -> DataFrame:
     """One outcome for each probe row."""
-    per = W.partitionBy("row_id")
-    found = found.withColumns({"_count": F.count("*").over(per), "_at": F.row_number().over(per.orderBy("prio", "p_row"))}).where("_at = 1")
-    found = found.select("row_id", F.col("_count").alias("count"), "prio", "p_row", "p_txn", amount_ok(F.col("amount"), F.col("p_amount")).alias("amt"), ok_time.alias("tim"), F.abs(F.col("amount") - F.col("p_amount")).alias("gap"))
     out = probe.join(found, "row_id", "left")
-    one = F.when(F.col("amt") & F.col("tim"), F.lit(0)).when(F.col("amt"), 1).when(F.col("tim"), 2).otherwise(3)
+    amt, tim = amount_ok(F.col("amount"), F.col("p_amount")), ok_time
+    one = F.when(amt & tim, F.lit(0)).when(amt, 1).when(tim, 2).otherwise(3)
     pick = lambda i: F.when(empty[0], empty[i]).when(bad[0], bad[i]).when(F.col("count").isNull(), missing[i]).when(F.col("count") > 1, many[i]).otherwise(F.element_at(F.array(*[F.lit(x[i - 1]) for x in levels]), one + 1))
-    partner = ~empty[0] & ~bad[0] & F.col("count").isNotNull()
-    return out.select("row_id", "category", pick(1).alias("reconciliation_type"), pick(2).alias("confidence_score"), F.when(partner, F.col("p_row")).alias("matched_row"), F.when(partner & (F.col("count") == 1), F.col("gap")).alias("variance"))
+    return out.select("row_id", "category", pick(1).alias("reconciliation_type"), pick(2).alias("confidence_score"), F.col("p_row").alias("matched_row"), F.when(F.col("count") == 1, F.abs(F.col("amount") - F.col("p_amount"))).alias("variance"))
 
 
-def _refunds(rows: DataFrame) -> DataFrame:
-    probe = rows.where("category = 'REFUND'")
-    found = _candidates(rows, probe, "link").where(F.col("p_amount").isNull() | F.col("amount").isNull() | amount_ok(F.abs("amount"), F.abs("p_amount")) | amount_ok(F.col("amount"), F.col("p_amount")))
-    found = _prefer(found, F.col("prio") == 1)
-    link, lit = F.col("link"), F.lit
-    return _decide(probe, found, (link == "", lit("MISSING_SETTLEMENT"), lit(20)), (_malformed(link, 3), lit("MISSING_SETTLEMENT"), lit(20)), (None, lit("MISSING_SETTLEMENT"), lit(25)), (None, lit("MULTIPLE_MATCHES"), lit(40)), [("FULL_MATCH", 100), ("DATE_MISMATCH", 70), ("AMOUNT_MISMATCH", 55), ("PARTIAL_MATCH", 45)], time_ok(F.col("ts"), F.col("p_ts")))
+def _bucket(amount: Column) -> Column:
+    """Amounts within the tolerance are at most one bucket apart: 0.02 wide up to 10, then 0.2 % of the amount."""
+    x = F.abs(amount)
+    return F.floor(F.when(x <= 10, x / 0.02).otherwise(500 + F.log(x / 10) / 0.002))
 
 
-def _settlements(rows: DataFrame) -> DataFrame:
+def _refunds(rows: DataFrame, config: Config) -> DataFrame:
+    probe = rows.where("category = 'REFUND'")
+    link, lit = F.col("link"), F.lit
+    empty, bad = link == "", _malformed(link, 3)
+    # groups of equal amounts in buckets; those without an amount; all, for refunds without one
+    own = F.struct(F.coalesce(_bucket(F.col("amount")), lit(-1)).alias("bucket"), F.col("amount").alias("amount"))
+    index = _index(rows, F.array(own, F.struct(lit(-9).cast("long").alias("bucket"), lit(None).cast("double").alias("amount"))))
+    index = index.withColumn("bucket", F.col("g.bucket"))
+    b = _bucket(F.col("amount"))
+    near = F.when(F.col("amount").isNull(), F.array(lit(-9).cast("long"))).otherwise(F.array(lit(-1).cast("long"), *[F.when(b + i >= 0, b + i) for i in (-1, 0, 1)]))
+    asked = probe.where(~(empty | bad)).select("row_id", "amount", link.alias("k"), F.explode(F.array_compact(near)).alias("bucket"))
+    met = asked.join(index, ["k", "bucket"]).where("row_id != p_row")
+    met = met.where(F.col("p_amount").isNull() | F.col("amount").isNull() | amount_ok(F.abs("amount"), F.abs("p_amount"), config))
+    found = _choose(met.groupBy("row_id").agg(*_tally("id", F.col("prio") == 1), *_tally("ref", F.col("prio") == 2)), ["id", "ref"])
+    return _decide(probe, found, (empty, lit("MISSING_SETTLEMENT"), lit(20)), (bad, lit("MISSING_SETTLEMENT"), lit(20)), (None, lit("MISSING_SETTLEMENT"), lit(25)), (None, lit("MULTIPLE_MATCHES"), lit(40)), [("FULL_MATCH", 100), ("DATE_MISMATCH", 70), ("AMOUNT_MISMATCH", 55), ("PARTIAL_MATCH", 45)], time_ok(F.col("ts"), F.col("p_ts"), config))
+
+
+def _settlements(rows: DataFrame, config: Config) -> DataFrame:
     probe = rows.where("category = 'TXN'")
-    found = _prefer(_candidates(rows, probe, "sref"), F.col("prio") == 1)
-    mine, theirs = F.coalesce("currency", F.lit("")), F.coalesce("p_currency", F.lit(""))
-    found = found.where((mine == "") | (theirs == "") | (mine == theirs))
-    found = _prefer(found, F.col("customer_id") == F.col("p_customer"))
-    sref, lit = F.col("sref"), F.lit
-    tim = time_ok(F.col("ts"), F.col("p_ts")) | time_ok(F.col("settlement_date"), F.col("p_ts")) | (F.col("ts").isNull() & F.col("settlement_date").isNull())
-    return _decide(probe, found, (sref == "", lit("MISSING_SETTLEMENT"), lit(15)), (_malformed(sref, 4), lit("PARTIAL_MATCH"), lit(35)), (None, lit("MISSING_SETTLEMENT"), lit(30)), (None, lit("MULTIPLE_MATCHES"), lit(45)), [("FULL_MATCH", 100), ("DATE_MISMATCH", 72), ("AMOUNT_MISMATCH", 58), ("PARTIAL_MATCH", 48)], tim)
+    sref, lit, none = F.col("sref"), F.lit, F.lit(None).cast("string")
+    empty, bad = sref == "", _malformed(sref, 4)
+    cur, who = F.coalesce("currency", lit("")), F.col("customer_id").cast("string")
+    group = lambda kind, c, w: F.struct(lit(kind).alias("kind"), c.alias("cur"), w.alias("who"))
+    index = _index(rows, F.filter(F.array(group("all", none, none), group("cur", cur, none), group("who", none, who), group("both", cur, who)), lambda g: g["kind"].isin("all", "cur") | g["who"].isNotNull()))
+    # a blank currency fits all; a customer's own rows come first
+    fits = F.when(cur == "", F.array(group("who", none, who))).otherwise(F.array(group("cur", cur, none), group("cur", lit(""), none), group("both", cur, who), group("both", lit(""), who)))
+    asked = probe.where(~(empty | bad)).select("row_id", cur.alias("c"), sref.alias("k"), F.explode(F.concat(F.array(group("all", none, none)), fits)).alias("g"))
+    flat = lambda df: df.withColumns({"kind": F.col("g.kind"), "cur": F.coalesce("g.cur", lit("\0")), "who": F.coalesce("g.who", lit("\0"))}).drop("g")
+    met = flat(asked).join(flat(index), ["k", "kind", "cur", "who"]).where("row_id != p_row")
+    kind, p1 = F.col("kind"), F.col("prio") == 1
+    mine, fit = kind.isin("who", "both"), (kind == "cur") | ((kind == "all") & (F.col("c") == ""))
+    met = met.groupBy("row_id").agg(F.max((kind == "all") & p1).alias("by_id"), *_tally("id_mine", mine & p1), *_tally("id_any", fit & p1), *_tally("ref_mine", mine & ~p1), *_tally("ref_any", fit & ~p1))
+    met = met.withColumns({f"n_ref_{x}": F.when(F.col("by_id"), 0).otherwise(F.col(f"n_ref_{x}")) for x in ("mine", "any")})
+    found = _choose(met, ["id_mine", "id_any", "ref_mine", "ref_any"])
+    tim = time_ok(F.col("ts"), F.col("p_ts"), config) | time_ok(F.col("settlement_date"), F.col("p_ts"), config) | (F.col("ts").isNull() & F.col("settlement_date").isNull())
+    return _decide(probe, found, (empty, lit("MISSING_SETTLEMENT"), lit(15)), (bad, lit("PARTIAL_MATCH"), lit(35)), (None, lit("MISSING_SETTLEMENT"), lit(30)), (None, lit("MULTIPLE_MATCHES"), lit(45)), [("FULL_MATCH", 100), ("DATE_MISMATCH", 72), ("AMOUNT_MISMATCH", 58), ("PARTIAL_MATCH", 48)], tim)
 
 
 def _fx(rows: DataFrame, config: Config) -> DataFrame:
-    rel = F.abs(F.col("exchange_rate") - F.col("reference_rate")) / F.abs("reference_rate")
+    rel = F.try_divide(F.abs(F.col("exchange_rate") - F.col("reference_rate")), F.abs("reference_rate"))
     kind = F.when(rel <= config.fx_tolerance, "FULL_MATCH").when(rel <= 5 * config.fx_tolerance, "PARTIAL_MATCH").otherwise("AMOUNT_MISMATCH")
     score = F.when(rel <= config.fx_tolerance, 100).when(rel <= 5 * config.fx_tolerance, 80).otherwise(50)
     return rows.where("category = 'FX'").select("row_id", "category", kind.alias("reconciliation_type"), score.alias("confidence_score"), F.lit(None).cast("long").alias("matched_row"), F.abs(F.col("exchange_rate") - F.col("reference_rate")).alias("variance"))
@@ -97,12 +133,12 @@ def _fx(rows: DataFrame, config: Config) -> DataFrame:
 def reconcile(rows: DataFrame, config: Config = Config()) -> DataFrame:
     """row_id, category, reconciliation_type, confidence_score, matched_row, variance: one row for each transaction."""
     rows = categories(rows)
-    return _refunds(rows).unionByName(_fx(rows, config)).unionByName(_settlements(rows))
+    return _refunds(rows, config).unionByName(_fx(rows, config)).unionByName(_settlements(rows, config))
 
 
 def summary(audit: DataFrame) -> DataFrame:
     t = F.col("reconciliation_type")
-    return audit.agg(F.count("*").alias("total_rows"), F.count_if(t.isin(MATCHED)).alias("total_matched"), F.count_if(~t.isin(MATCHED)).alias("unmatched"), *[F.count_if(t == k).alias(k.lower()) for k in (*MATCHED, "MISSING_SETTLEMENT", "MULTIPLE_MATCHES")], F.bround(F.coalesce(F.sum("variance"), F.lit(0.0)), 2).alias("amount_variance_total"))
+    return audit.agg(F.count("*").alias("total_rows"), F.count_if(t.isin(MATCHED)).alias("total_matched"), F.count_if(~t.isin(MATCHED)).alias("unmatched"), *[F.count_if(t == k).alias(k.lower()) for k in (*MATCHED, "MISSING_SETTLEMENT", "MULTIPLE_MATCHES")], F.coalesce(F.sum(F.col("variance").cast("decimal(30,6)")), F.lit(0)).cast("double").alias("amount_variance_total"))
 
 
 def confidence(audit: DataFrame) -> DataFrame:
@@ -114,6 +150,6 @@ def confidence(audit: DataFrame) -> DataFrame:
 def fx_mart(rows: DataFrame, config: Config = Config()) -> DataFrame:
     """Signed percentage of each FX row's rate against the treasury rate, and whether the trade is stale at as_of."""
     r = categories(rows).where("category = 'FX'")
-    pct = F.bround((F.col("exchange_rate") - F.col("reference_rate")) / F.col("reference_rate") * 100, 6)
+    pct = F.bround(F.try_divide(F.col("exchange_rate") - F.col("reference_rate"), F.col("reference_rate")) * 100, 6)
     age = F.floor((F.unix_seconds(F.lit(config.as_of).cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))) / 86400)
     return r.select("row_id", "txn_id", F.concat_ws("/", "from_currency", "to_currency").alias("currency_pair"), F.col("reference_rate").alias("treasury_rate"), F.col("exchange_rate").alias("transaction_rate"), pct.alias("variance_pct"), (F.col("ts").isNull() | (age > config.stale_days)).alias("stale_fx_indicator"))

@@ -364,7 +364,7 @@ for _name, _category in (("recon_refund", "REFUND"), ("recon_fx", "FX"), ("recon
 
 
 @query(f"""{_RECON} SELECT count(*) AS total_rows, count(*) FILTER (reconciliation_type IN ({_in(R.MATCHED)})) AS total_matched, count(*) FILTER (reconciliation_type NOT IN ({_in(R.MATCHED)})) AS unmatched,
-  {", ".join(f"count(*) FILTER (reconciliation_type = '{k}') AS {k.lower()}" for k in (*R.MATCHED, "MISSING_SETTLEMENT", "MULTIPLE_MATCHES"))}, round_even(coalesce(sum(variance), 0), 2) AS amount_variance_total FROM audit""")
+  {", ".join(f"count(*) FILTER (reconciliation_type = '{k}') AS {k.lower()}" for k in (*R.MATCHED, "MISSING_SETTLEMENT", "MULTIPLE_MATCHES"))}, CAST(coalesce(sum(CAST(variance AS DECIMAL(30,6))), 0) AS DOUBLE) AS amount_variance_total FROM audit""")
 def recon_summary(spark, d):
     return R.summary(_audit(spark, d))
 

@@ -64,6 +64,20 @@ def test_routes_partition(spark):
     assert s[0] == s[1] == 1500
 
 
+def test_a_hot_reference_meets_few_candidates(spark):
+    from tallyspark.operators import reconcile as R
+
+    n = 20_000  # rows that share one malformed reference, and as many that share a valid one
+    rows = spark.range(2 * n + 3).selectExpr(
+        "id AS row_id", "concat('T', id) AS txn_id", f"CASE WHEN id < {n} THEN 'A?' WHEN id < {2 * n} THEN 'SHARED1' WHEN id = {2 * n} THEN 'T{2 * n + 1}' ELSE 'OWN12' END AS settlement_reference",
+        f"CASE WHEN id % 5 = 0 AND id < {2 * n} THEN 'SHARED1' ELSE '' END AS link_reference", "concat('C', id) AS customer_id", "CAST(10 + id % 7 AS DOUBLE) AS amount", "CASE WHEN id % 3 = 0 THEN '' ELSE 'USD' END AS currency",
+        "TIMESTAMP '2024-01-01 00:00:00' AS ts", "CAST(NULL AS TIMESTAMP) AS settlement_date", "CASE WHEN id % 5 = 0 THEN 'REFUND' ELSE 'PAYMENT' END AS txn_type", "'' AS debit_credit", "'' AS from_currency", "'' AS to_currency", "0.0D AS exchange_rate", "0.0D AS reference_rate", "'' AS conversion_id")
+    out = R.reconcile(rows).groupBy("category", "reconciliation_type", "confidence_score").count().collect()
+    got = {(r[0], r[1], r[2]): r[3] for r in out}
+    # 40,000 to 40,002: a refund without a link, and two that find each other
+    assert got == {("REFUND", "MULTIPLE_MATCHES", 40): 8000, ("REFUND", "MISSING_SETTLEMENT", 20): 1, ("TXN", "PARTIAL_MATCH", 35): 16000, ("TXN", "MULTIPLE_MATCHES", 45): 16000, ("TXN", "AMOUNT_MISMATCH", 58): 2}
+
+
 def test_clusters_of_a_path(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
     assert {r[0]: r[1] for r in D.clusters(pairs).collect()} == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100}
