@@ -179,3 +179,9 @@ def entity_name(c: Column) -> Column:
 
 def percent(n: Column, d: Column) -> Column:
     return F.when(d > 0, F.bround(100 * n / d, 2)).otherwise(F.lit(0.0))
+
+
+def short_name(c: Column, most: int = 48) -> Column:
+    """A path's last part, cut after `most` characters with an ellipsis."""
+    base = F.regexp_replace(c, r"^.*[/\\]", "")
+    return F.when(F.length(base) > most, F.concat(F.substring(base, 1, most), F.lit("…"))).otherwise(base)

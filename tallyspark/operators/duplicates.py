@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -86,7 +86,7 @@ def all_pairs(rows: DataFrame, config: Config = Config()) -> DataFrame:
 def clusters(pairs: DataFrame) -> DataFrame:
     """node, cluster (smallest row of its component). Alternating stars; each round is written to the shared folder, not kept on executors."""
     spark = pairs.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local()
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local(spark)
 
     def table(df):
         path = f"{root.rstrip('/')}/clusters-{uuid.uuid4().hex}"
@@ -109,10 +109,13 @@ def clusters(pairs: DataFrame) -> DataFrame:
 _FOLDERS: list = []
 
 
-def _local() -> str:
+def _local(spark: SparkSession) -> str:
+    """A folder of this machine, where Spark runs in one process; else an error."""
     import atexit
     import tempfile
 
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _FOLDERS:
         _FOLDERS.append(tempfile.TemporaryDirectory(prefix="tallyspark-"))
         atexit.register(_FOLDERS[0].cleanup)
@@ -135,10 +138,12 @@ def run_summary(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def mart(pairs: DataFrame) -> DataFrame:
+    """Of each class: pairs, average confidence; clusters and retries of all. Without pairs, a row NONE of zeros."""
     by = pairs.groupBy(F.col("duplicate_classification").alias("duplicate_type")).agg(F.count("*").alias("pair_count"), F.bround(F.avg("duplicate_confidence"), 2).alias("avg_confidence"))
     found = clusters(pairs).agg(F.countDistinct("cluster").alias("duplicate_cluster_count"))
     retry = pairs.agg(F.count_if(F.col("duplicate_classification") == "RETRY_PATTERN").alias("retry_pattern_counts"))
-    return by.crossJoin(found).crossJoin(retry)
+    none = found.select(F.lit("NONE").alias("duplicate_type"), F.lit(0).cast("long").alias("pair_count"), F.lit(0.0).alias("avg_confidence")).join(pairs.limit(1).select(F.lit(1).alias("one")), how="left").where("one IS NULL").drop("one")
+    return by.unionByName(none).crossJoin(found).crossJoin(retry)  # found and retry are a row each
 
 
 def tiers(pairs: DataFrame) -> DataFrame:

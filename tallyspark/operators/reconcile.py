@@ -76,7 +76,7 @@ def _decide(probe: DataFrame, found: DataFrame, empty, bad, missing, many, level
     amt, tim = amount_ok(F.col("amount"), F.col("p_amount")), ok_time
     one = F.when(amt & tim, F.lit(0)).when(amt, 1).when(tim, 2).otherwise(3)
     pick = lambda i: F.when(empty[0], empty[i]).when(bad[0], bad[i]).when(F.col("count").isNull(), missing[i]).when(F.col("count") > 1, many[i]).otherwise(F.element_at(F.array(*[F.lit(x[i - 1]) for x in levels]), one + 1))
-    return out.select("row_id", "category", pick(1).alias("reconciliation_type"), pick(2).alias("confidence_score"), F.col("p_row").alias("matched_row"), F.when(F.col("count") == 1, F.abs(F.col("amount") - F.col("p_amount"))).alias("variance"))
+    return out.select("row_id", "category", pick(1).alias("reconciliation_type"), pick(2).alias("confidence_score"), F.col("p_row").alias("matched_row"), F.when(F.col("count") == 1, F.abs(F.col("amount") - F.col("p_amount"))).alias("variance"), pick(3).alias("matching_logic"))
 
 
 def _bucket(amount: Column) -> Column:
@@ -99,7 +99,7 @@ def _refunds(rows: DataFrame, config: Config) -> DataFrame:
     met = asked.join(index, ["k", "bucket"]).where("row_id != p_row")
     met = met.where(F.col("p_amount").isNull() | F.col("amount").isNull() | amount_ok(F.abs("amount"), F.abs("p_amount"), config))
     found = _choose(met.groupBy("row_id").agg(*_tally("id", F.col("prio") == 1), *_tally("ref", F.col("prio") == 2)), ["id", "ref"])
-    return _decide(probe, found, (empty, lit("MISSING_SETTLEMENT"), lit(20)), (bad, lit("MISSING_SETTLEMENT"), lit(20)), (None, lit("MISSING_SETTLEMENT"), lit(25)), (None, lit("MULTIPLE_MATCHES"), lit(40)), [("FULL_MATCH", 100), ("DATE_MISMATCH", 70), ("AMOUNT_MISMATCH", 55), ("PARTIAL_MATCH", 45)], time_ok(F.col("ts"), F.col("p_ts"), config))
+    return _decide(probe, found, (empty, lit("MISSING_SETTLEMENT"), lit(20), lit("missing_or_malformed_refund_link_reference")), (bad, lit("MISSING_SETTLEMENT"), lit(20), lit("missing_or_malformed_refund_link_reference")), (None, lit("MISSING_SETTLEMENT"), lit(25), lit("refund_link_not_found_on_ledger")), (None, lit("MULTIPLE_MATCHES"), lit(40), lit("multiple_original_candidates")), [(t, n, "reference_matches_original_txn_or_settlement") for t, n in (("FULL_MATCH", 100), ("DATE_MISMATCH", 70), ("AMOUNT_MISMATCH", 55), ("PARTIAL_MATCH", 45))], time_ok(F.col("ts"), F.col("p_ts"), config))
 
 
 def _settlements(rows: DataFrame, config: Config) -> DataFrame:
@@ -120,25 +120,29 @@ def _settlements(rows: DataFrame, config: Config) -> DataFrame:
     met = met.withColumns({f"n_ref_{x}": F.when(F.col("by_id"), 0).otherwise(F.col(f"n_ref_{x}")) for x in ("mine", "any")})
     found = _choose(met, ["id_mine", "id_any", "ref_mine", "ref_any"])
     tim = time_ok(F.col("ts"), F.col("p_ts"), config) | time_ok(F.col("settlement_date"), F.col("p_ts"), config) | (F.col("ts").isNull() & F.col("settlement_date").isNull())
-    return _decide(probe, found, (empty, lit("MISSING_SETTLEMENT"), lit(15)), (bad, lit("PARTIAL_MATCH"), lit(35)), (None, lit("MISSING_SETTLEMENT"), lit(30)), (None, lit("MULTIPLE_MATCHES"), lit(45)), [("FULL_MATCH", 100), ("DATE_MISMATCH", 72), ("AMOUNT_MISMATCH", 58), ("PARTIAL_MATCH", 48)], tim)
+    return _decide(probe, found, (empty, lit("MISSING_SETTLEMENT"), lit(15), lit("empty_settlement_reference")), (bad, lit("PARTIAL_MATCH"), lit(35), lit("malformed_settlement_reference")), (None, lit("MISSING_SETTLEMENT"), lit(30), lit("settlement_reference_not_found")), (None, lit("MULTIPLE_MATCHES"), lit(45), lit("duplicate_collision_multiple_settlement_rows")), [(t, n, "settlement_reference_resolved_to_counterparty_txn_id") for t, n in (("FULL_MATCH", 100), ("DATE_MISMATCH", 72), ("AMOUNT_MISMATCH", 58), ("PARTIAL_MATCH", 48))], tim)
 
 
 def _fx(rows: DataFrame, config: Config) -> DataFrame:
     rel = F.try_divide(F.abs(F.col("exchange_rate") - F.col("reference_rate")), F.abs("reference_rate"))
     kind = F.when(rel <= config.fx_tolerance, "FULL_MATCH").when(rel <= 5 * config.fx_tolerance, "PARTIAL_MATCH").otherwise("AMOUNT_MISMATCH")
     score = F.when(rel <= config.fx_tolerance, 100).when(rel <= 5 * config.fx_tolerance, 80).otherwise(50)
-    return rows.where("category = 'FX'").select("row_id", "category", kind.alias("reconciliation_type"), score.alias("confidence_score"), F.lit(None).cast("long").alias("matched_row"), F.abs(F.col("exchange_rate") - F.col("reference_rate")).alias("variance"))
+    return rows.where("category = 'FX'").select("row_id", "category", kind.alias("reconciliation_type"), score.alias("confidence_score"), F.lit(None).cast("long").alias("matched_row"), F.abs(F.col("exchange_rate") - F.col("reference_rate")).alias("variance"), F.lit("fx_pair_with_exchange_and_reference_rate").alias("matching_logic"))
 
 
 def reconcile(rows: DataFrame, config: Config = Config()) -> DataFrame:
-    """row_id, category, reconciliation_type, confidence_score, matched_row, variance: one row for each transaction."""
+    """row_id, category, reconciliation_type, confidence_score, matched_row, variance, matching_logic: one row for each transaction."""
     rows = categories(rows)
     return _refunds(rows, config).unionByName(_fx(rows, config)).unionByName(_settlements(rows, config))
 
 
-def summary(audit: DataFrame) -> DataFrame:
+def summary(audit: DataFrame, duplicates: DataFrame | None = None) -> DataFrame:
+    """One row; with the duplicate run's summary, its pair counts beside it."""
     t = F.col("reconciliation_type")
-    return audit.agg(F.count("*").alias("total_rows"), F.count_if(t.isin(MATCHED)).alias("total_matched"), F.count_if(~t.isin(MATCHED)).alias("unmatched"), *[F.count_if(t == k).alias(k.lower()) for k in (*MATCHED, "MISSING_SETTLEMENT", "MULTIPLE_MATCHES")], F.coalesce(F.sum(F.col("variance").cast("decimal(30,6)")), F.lit(0)).cast("double").alias("amount_variance_total"))
+    one = audit.agg(F.count("*").alias("total_rows"), F.count_if(t.isin(MATCHED)).alias("total_matched"), F.count_if(~t.isin(MATCHED)).alias("unmatched"), *[F.count_if(t == k).alias(k.lower()) for k in (*MATCHED, "MISSING_SETTLEMENT", "MULTIPLE_MATCHES")], F.coalesce(F.sum(F.col("variance").cast("decimal(30,6)")), F.lit(0)).cast("double").alias("amount_variance_total"))
+    if duplicates is None:
+        return one
+    return one.crossJoin(duplicates.select(*[F.col(f"{x}_pairs").alias(f"duplicate_{x}_pairs") for x in ("exact", "fuzzy", "retry", "possible")]))  # a row each
 
 
 def confidence(audit: DataFrame) -> DataFrame:

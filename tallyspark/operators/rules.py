@@ -91,8 +91,8 @@ def route(df: DataFrame, status: str) -> DataFrame:
 
 
 def audit(df: DataFrame, key: str) -> DataFrame:
-    """A row for each (row, rule triggered)."""
-    return df.where("validation_rule_triggered != ''").select(key, F.explode(F.split("validation_rule_triggered", r"\|")).alias("rule_name"), "validation_status")
+    """A row for each (row, rule triggered), with the row's severity and status."""
+    return df.where("validation_rule_triggered != ''").select(key, F.explode(F.split("validation_rule_triggered", r"\|")).alias("rule_name"), "validation_severity", "validation_status")
 
 
 def summary(df: DataFrame, file: str = "source_file_name") -> DataFrame:

@@ -51,3 +51,18 @@ def audit(df: DataFrame, key: str) -> DataFrame:
     failed = [F.struct(F.lit(c).alias("column_name"), F.col(f"{c}_raw").alias("original_value"), F.col(c).alias("standardized_value"), F.col(f).alias("failed")) for c in (*C.DATES, *C.AMOUNTS) for f in (f"{c}_parse_failed", f"{c}_amount_parse_failed") if f in df.columns]
     rows = df.select(key, F.explode(F.filter(F.array(*failed), lambda x: x["failed"])).alias("x"))
     return rows.select(key, "x.column_name", "x.original_value", "x.standardized_value")
+
+
+def changes(df: DataFrame, key: str) -> DataFrame:
+    """key, column_name, original_value, standardized_value of the identifiers whose text standardising changed."""
+    found = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("original_value"), F.col(f"{c}_standardized").alias("standardized_value")) for c in C.IDENTIFIERS if f"{c}_standardized" in df.columns]
+    rows = df.select(key, F.explode(F.filter(F.array(*found), lambda x: x["original_value"].isNotNull() & ~x["original_value"].eqNullSafe(x["standardized_value"]))).alias("x"))
+    return rows.select(key, "x.*")
+
+
+def summary(df: DataFrame, file: str = "source_file_name") -> DataFrame:
+    """Of each feed: rows, dates and amounts that could not be parsed, identifiers changed."""
+    changed = sum((F.coalesce(~F.col(c).eqNullSafe(F.col(f"{c}_standardized")) & F.col(c).isNotNull(), F.lit(False)).cast("int") for c in C.IDENTIFIERS if f"{c}_standardized" in df.columns), F.lit(0))
+    dates, amounts = [f"{c}_parse_failed" for c in C.DATES if f"{c}_parse_failed" in df.columns], [f"{c}_amount_parse_failed" for c in C.AMOUNTS if f"{c}_amount_parse_failed" in df.columns]
+    count = lambda names: F.sum(sum((F.coalesce(F.col(c), F.lit(False)).cast("int") for c in names), F.lit(0)))
+    return df.groupBy(file).agg(F.count("*").alias("rows_processed"), count(dates).alias("invalid_dates"), count(amounts).alias("currency_parse_failures"), F.sum(changed).alias("normalization_actions"))

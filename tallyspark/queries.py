@@ -12,9 +12,9 @@ from .functions import columns as X
 from .functions.similarity import ratio, token_sort_ratio
 from .operators import duplicates as D
 from .operators import reconcile as R
-from .operators import rules, standardize
+from .operators import canonical, rules, standardize
 from .plans import reports
-from .sources import feeds
+from .sources import csv, feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -249,7 +249,7 @@ def validation_status(spark, d):
     return _checked(spark, d).select("row_id", "validation_status")
 
 
-@query(f"{_CHECKED} SELECT row_id, rule_name, status AS validation_status FROM (SELECT row_id, status, unnest(string_split(triggered, '|')) AS rule_name FROM final WHERE triggered <> '')")
+@query(f"{_CHECKED} SELECT row_id, rule_name, 'S' || rank AS validation_severity, status AS validation_status FROM (SELECT row_id, rank, status, unnest(string_split(triggered, '|')) AS rule_name FROM final WHERE triggered <> '')")
 def validation_audit(spark, d):
     return rules.audit(_checked(spark, d), "row_id")
 
@@ -281,10 +281,18 @@ def null_coverage(spark, d):
     return rules.null_coverage(_silver(spark, d), ["txn_id_standardized", "messy_amount_amount_numeric"])
 
 
-@query(f"{_SILVER} SELECT source_file_name, count(*) AS rows_processed, count(*) FILTER (dated IS NULL AND date_text IS NOT NULL) AS invalid_dates, count(*) FILTER (failed) AS currency_parse_failures FROM silver GROUP BY 1")
+_CHANGED = [("txn_id", "txn_id"), ("settlement_reference", "settlement_reference"), ("reference_number", "reference_number"), ("primary_account_number", "primary_account_number"), ("destination_ifsc", "destination_ifsc")]
+
+
+@query(f"""{_SILVER}, c AS (SELECT row_id, {" + ".join(f"CASE WHEN {_s(c)} <> {_id(c)} THEN 1 ELSE 0 END" for c, _ in _CHANGED)} AS n FROM feed)
+  SELECT source_file_name, count(*) AS rows_processed, count(*) FILTER (dated IS NULL AND date_text IS NOT NULL) AS invalid_dates, count(*) FILTER (failed) AS currency_parse_failures, CAST(sum(c.n) AS BIGINT) AS normalization_actions FROM silver JOIN c USING (row_id) GROUP BY 1""")
 def standardization_summary(spark, d):
-    s = _silver(spark, d)
-    return s.groupBy("source_file_name").agg(F.count("*").alias("rows_processed"), F.count_if("messy_txn_date_parse_failed").alias("invalid_dates"), F.count_if("messy_amount_amount_parse_failed").alias("currency_parse_failures"))
+    return standardize.summary(_silver(spark, d))
+
+
+@query(f"WITH {_FEED} " + " UNION ALL ".join(f"SELECT row_id, '{c}' AS column_name, {_s(c)} AS original_value, {_id(c)} AS standardized_value FROM feed WHERE {_s(c)} <> {_id(c)}" for c, _ in _CHANGED))
+def normalization_actions(spark, d):
+    return standardize.changes(_silver(spark, d), "row_id")
 
 
 @query(f"""{_SILVER} SELECT row_id, 'messy_txn_date' AS column_name, raw_date AS original_value, date_text AS standardized_value FROM silver WHERE dated IS NULL AND date_text IS NOT NULL
@@ -444,3 +452,123 @@ def profile_columns(spark, d):
 def lineage_stages(spark, d):
     c = _checked(spark, d)
     return reports.stages({"bronze": _txn(spark, d), "gold": rules.route(c, "VALID"), "warnings": rules.route(c, "WARNING"), "rejects": rules.route(c, "REJECTED")})
+
+
+# ---- canonical view, feeds, metadata
+_BLANK = lambda c: f"CASE WHEN lower(trim(coalesce({c}, ''))) IN ('nan', 'none') THEN '' ELSE trim(coalesce({c}, '')) END"
+_REFERENCE = " , ".join(f"nullif({x}, '')" for c in ("settlement_reference", "reference_number") for x in (f"trim({_id(c)})", f"trim({_s(c)})"))
+
+
+@query(f"""{_SILVER}, r AS (SELECT row_id, {_id("settlement_reference")} AS sref, {_id("reference_number")} AS rref, coalesce({_REFERENCE}, '') AS ref, upper({_s("txn_type")}) AS kind, customer_id AS who FROM feed)
+  SELECT row_id, source_file_name, coalesce(tid, '') AS txn_id, coalesce(who, '') AS customer_id, '' AS name, ref AS reference, coalesce(sref, '') AS settlement_reference, coalesce(rref, '') AS link_reference, amount, coalesce(currency, '') AS currency,
+  CAST(NULL AS VARCHAR) AS ts, coalesce(kind, '') AS txn_type, coalesce(dc, '') AS debit_credit, fc AS from_currency, tc AS to_currency, CAST(rate AS DOUBLE) AS exchange_rate, 'UNKNOWN' AS validation_status FROM silver JOIN r USING (row_id)""")
+def canonical_txn_view(spark, d):
+    v = canonical.canonical_view(_silver(spark, d))
+    return v.select("row_id", "source_file_name", "txn_id", "customer_id", "name", "reference", "settlement_reference", "link_reference", "amount", "currency", F.col("ts").cast("string").alias("ts"), "txn_type", "debit_credit", "from_currency", "to_currency", "exchange_rate", "validation_status")
+
+
+@query(f"WITH {_FEED} SELECT row_id, coalesce({_REFERENCE}, '') AS reference FROM feed")
+def reference_coalesce(spark, d):
+    s = _silver(spark, d)
+    return s.select("row_id", canonical.reference(s).alias("reference"))
+
+
+@query(f"""WITH {_FEED} SELECT row_id, txn_id, messy_amount, CAST(NULL AS VARCHAR) AS status, 'a' AS _source_file FROM feed WHERE source_file_name = 'bank_a.csv' UNION ALL SELECT row_id, txn_id, NULL, status, 'b' FROM feed WHERE source_file_name = 'bank_b.csv'""")
+def union_feeds(spark, d):
+    f = _txn(spark, d)
+    return canonical.union_feeds({"a": f.where("source_file_name = 'bank_a.csv'").select("row_id", "txn_id", "messy_amount"), "b": f.where("source_file_name = 'bank_b.csv'").select("row_id", "status", "txn_id")})
+
+
+@query(f"WITH {_FEED} SELECT row_id, source_file_name, '2024-06-30 00:00:00' AS ingestion_timestamp, 'b1' AS processing_batch_id FROM feed")
+def bronze_metadata(spark, d):
+    return csv.bronze(_txn(spark, d).withColumn("_bad", F.lit(False)), "b1", "2024-06-30 00:00:00").select("row_id", "source_file_name", "ingestion_timestamp", "processing_batch_id")
+
+
+@query(f"WITH {_FEED} SELECT (CASE WHEN source_file_name = 'bank_a.csv' THEN 0 ELSE 8589934592 END) + row_id AS id, row_id FROM feed")
+def number_rows(spark, d):
+    return canonical.number_rows(_txn(spark, d).select("source_file_name", F.col("row_id").alias("row_no"))).select(F.col("row_id").alias("id"), F.col("row_no").alias("row_id"))
+
+
+@query(f"WITH l AS ({feeds.LEDGER}) SELECT row_id, length({_mid('settlement_reference')}) < 4 OR NOT regexp_full_match({_mid('settlement_reference')}, '[A-Z0-9./]+') AS malformed FROM l")
+def malformed_identifier(spark, d):
+    return _ledger(spark, d).select("row_id", R._malformed(X.match_id(F.col("settlement_reference")), 4).alias("malformed"))
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_name || p_name || p_name || p_name) > 48 THEN left(p_name || p_name || p_name || p_name, 48) || '…' ELSE p_name || p_name || p_name || p_name END AS short FROM part")
+def short_name(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    return p.select("p_partkey", X.short_name(F.concat(F.lit("/gold/x\\"), *["p_name"] * 4)).alias("short"))
+
+
+# ---- the rarer rules: by the arithmetic that made the rows
+_FIRED = {
+    "date_parse_failed": "o_orderkey % 7 = 0 AND o_orderkey % 14 <> 0", "amount_overflow": "o_orderkey % 5 = 0", "identifier_bic_malformed": "o_orderkey % 3 = 0 OR o_orderkey % 4 = 0", "identifier_branch_short": "o_orderkey % 6 = 0",
+    "enum_invalid_reconciliation_status": "o_orderkey % 8 = 0", "enum_invalid_payment_channel": "o_orderkey % 9 = 0", "placeholder_value": "o_orderkey % 17 = 0 AND o_orderkey % 13 <> 0", "unicode_replacement": "o_orderkey % 13 = 0",
+}
+
+
+@query(f"SELECT o_orderkey AS row_id, {', '.join(f'o_orderkey % 11 <> 0 AND ({c}) AS {n}' for n, c in _FIRED.items())}, o_orderkey % 11 = 0 AS null_density_high FROM orders")
+def rule_rare(spark, d):
+    df = rules.count_ids(standardize.standardize(standardize.rename(feeds.feed(spark, d, feeds.RARE))))
+    found = {n: c for n, c, _ in rules.catalog(df)}
+    return df.select("row_id", *[found[n].alias(n) for n in (*_FIRED, "null_density_high")])
+
+
+# ---- retries in numbers, names and references, marts
+_RETRIES = f"WITH e AS ({feeds.RETRIES}), {_RETRY}"
+
+
+def _retries(spark, d):
+    return feeds.feed(spark, d, feeds.RETRIES)
+
+
+@query(f"{_RETRIES} SELECT * FROM retry")
+def dup_retry_many(spark, d):
+    return D.retries(_retries(spark, d))
+
+
+@query(f"{_RETRIES}, x AS (SELECT a AS row_id FROM retry UNION ALL SELECT b FROM retry) SELECT CASE WHEN row_id % 3 = 0 THEN 'bank_a' ELSE 'bank_b' END AS entity, count(*) AS n FROM x GROUP BY 1")
+def dup_sources(spark, d):
+    f = _retries(spark, d)
+    return reports.duplicate_sources(D.retries(f), f)
+
+
+@query(f"""WITH f AS ({feeds.NAMED}), p AS (SELECT a.row_id AS a, b.row_id AS b, round_even(0.30 * CASE (a.row_id // 2) % 3 WHEN 0 THEN 100 WHEN 1 THEN 0 ELSE 95 END + 0.25 * (100 - least(100, (epoch(b.ts) - epoch(a.ts)) / 86400 * 100)) + 0.25 * 100
+    + 0.20 * CASE (a.row_id // 2) % 4 WHEN 0 THEN 2000.0 / 22 WHEN 1 THEN 1800.0 / 21 ELSE 50 END, 0) AS conf FROM f a JOIN f b ON b.row_id = a.row_id + 1 AND a.row_id % 2 = 0 AND CAST(a.ts AS DATE) = CAST(b.ts AS DATE))
+  SELECT a, b, CASE WHEN conf >= 82 THEN 'FUZZY_DUPLICATE' ELSE 'POSSIBLE_DUPLICATE' END AS duplicate_classification, CAST(conf AS INT) AS duplicate_confidence, 'weighted_similarity' AS duplicate_logic FROM p WHERE conf >= 62""")
+def dup_fuzzy_named(spark, d):
+    return D.fuzzy(feeds.feed(spark, d, feeds.NAMED))
+
+
+@query(f"""{_CHECKED}, t AS (SELECT unnest(string_split(triggered, '|')) AS rule_name FROM final WHERE triggered <> '') SELECT count(*) AS total_rows_processed, count(*) FILTER (status = 'VALID') AS total_valid, count(*) FILTER (status = 'WARNING') AS total_warning,
+  count(*) FILTER (status = 'REJECTED') AS total_rejected, {", ".join(f"count(*) FILTER (rank = {i}) AS severity_S{i}" for i in range(6))}, (SELECT count(*) FROM t) AS validation_rule_trigger_count, (SELECT count(DISTINCT rule_name) FROM t) AS validation_unique_rules_triggered FROM final""")
+def gold_validation_summary(spark, d):
+    c = _checked(spark, d)
+    return reports.validation_mart(rules.summary(c), rules.audit(c, "row_id"))
+
+
+@query(f"""{_RECON} SELECT {", ".join(f"count(*) FILTER (reconciliation_type = '{k}') AS {k}" for k in (*R.MATCHED, "MISSING_SETTLEMENT", "MULTIPLE_MATCHES"))}, count(*) AS total_rows, count(*) FILTER (reconciliation_type IN ({_in(R.MATCHED)})) AS total_matched,
+  count(*) FILTER (reconciliation_type NOT IN ({_in(R.MATCHED)})) AS unmatched, CAST(coalesce(sum(CAST(variance AS DECIMAL(30,6))), 0) AS DOUBLE) AS amount_variance_total FROM audit""")
+def gold_reconciliation_summary(spark, d):
+    return reports.reconciliation_mart(R.summary(_audit(spark, d)))
+
+
+@query(f"{_RECON}, {_FX} SELECT * FROM fx WHERE abs(variance_pct) > 2")
+def fx_breaches(spark, d):
+    return reports.fx_breaches(R.fx_mart(_ledger(spark, d)))
+
+
+@query(f"""{_KPI}, a AS (SELECT CASE WHEN validation_success_pct < 95 THEN printf('Validation success %.2f%% is below 95%%', validation_success_pct) END AS alert FROM kpi UNION ALL SELECT CASE WHEN match_rate_pct < 98 THEN printf('Match rate %.2f%% is below 98%%', match_rate_pct) END FROM kpi
+  UNION ALL SELECT CASE WHEN unresolved > 0 THEN printf('%d unresolved reconciliation rows', unresolved) END FROM kpi) SELECT alert FROM a WHERE alert IS NOT NULL""")
+def operational_alerts(spark, d):
+    return reports.alerts(reports.executive_kpis(rules.summary(_checked(spark, d)), R.summary(_audit(spark, d))))
+
+
+@query(f"""{_RECON} SELECT l.row_id AS pipeline_row_id, l.txn_id AS transaction_id, l.amount AS standardized_amount, l.currency AS currency_code, reconciliation_type AS reconciliation_status, 'UNKNOWN' AS validation_status, 'NOT_DUPLICATE' AS duplicate_status, confidence_score AS reconciliation_confidence,
+  coalesce(q.txn_id, '') AS matched_transaction_id, audit.category AS reconciliation_category, CASE WHEN audit.category = 'FX' THEN 'fx_pair_with_exchange_and_reference_rate' WHEN audit.category = 'REFUND' THEN CASE confidence_score WHEN 20 THEN 'missing_or_malformed_refund_link_reference' WHEN 25 THEN 'refund_link_not_found_on_ledger' WHEN 40 THEN 'multiple_original_candidates' ELSE 'reference_matches_original_txn_or_settlement' END
+    ELSE CASE confidence_score WHEN 15 THEN 'empty_settlement_reference' WHEN 35 THEN 'malformed_settlement_reference' WHEN 30 THEN 'settlement_reference_not_found' WHEN 45 THEN 'duplicate_collision_multiple_settlement_rows' ELSE 'settlement_reference_resolved_to_counterparty_txn_id' END END AS matching_logic_used,
+  '2024-06-30 00:00:00' AS ingestion_timestamp, '2024-06-30 00:00:00' AS standardization_timestamp, '2024-06-30 00:00:00' AS validation_timestamp, '2024-06-30 00:00:00' AS reconciliation_timestamp, 'b1' AS processing_batch_id, 'ledger.csv' AS source_gold_file
+  FROM l JOIN audit USING (row_id) LEFT JOIN l q ON q.row_id = matched_row""")
+def transaction_master_full(spark, d):
+    rows = _ledger(spark, d).withColumns({"validation_status": F.lit("UNKNOWN"), "source_file_name": F.lit("ledger.csv")})
+    return reports.full_master(rows, R.reconcile(rows), D.row_status(rows, D.exact(rows)), "2024-06-30 00:00:00", "b1")

@@ -45,6 +45,25 @@ EVENTS = """SELECT event_id AS row_id, CAST(event_id AS STRING) AS txn_id, CAST(
   floor(value) + 0.0 AS amount, CAST(ts AS TIMESTAMP) AS ts FROM events"""
 
 
+#: Rows that fire the rarer rules, and the columns of other feeds.
+RARE = """SELECT o_orderkey AS row_id, 'rare.csv' AS source_file_name, CASE WHEN o_orderkey % 11 <> 0 THEN concat('TXN-', CAST(o_orderkey AS STRING)) END AS txn_id,
+  CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 7 = 0 THEN 'soon' ELSE '2020-01-02' END END AS txn_date, CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 14 = 0 THEN '-' ELSE '2020-01-02' END END AS messy_txn_date,
+  CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'USD 20000000000000000' ELSE 'USD 20' END END AS messy_amount,
+  CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'ABCDEF' ELSE 'ABCDEF12' END END AS swift_code, CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'ABCDEF1234567' ELSE 'ABCDEF12XYZ' END END AS counterparty_bic,
+  CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 6 = 0 THEN '12' ELSE '1234' END END AS branch_code, CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 8 = 0 THEN 'odd' ELSE 'pending' END END AS reconciliation_status,
+  CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 9 = 0 THEN 'pigeon' ELSE 'atm' END END AS channel, CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 13 = 0 THEN 'a � b' WHEN o_orderkey % 17 = 0 THEN 'tbd' ELSE 'fine' END END AS remark
+FROM orders"""
+
+RETRIES = """SELECT o_orderkey AS row_id, concat('T', CAST(o_orderkey AS STRING)) AS txn_id, CAST(o_custkey % 5 AS STRING) AS customer_id, CAST(NULL AS STRING) AS name, CAST(NULL AS STRING) AS reference,
+  CAST(o_orderkey % 2 AS DOUBLE) + 5.0 AS amount, CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 400) * INTERVAL '1' SECOND AS ts, CASE WHEN o_orderkey % 3 = 0 THEN '/gold/bank_a__b1.csv' ELSE '/gold/bank_b__b1.csv' END AS source_file_name FROM orders"""
+
+#: Pairs of rows of one customer and day, with names in another order, other names, and references that differ at their end.
+NAMED = """SELECT o_orderkey * 2 + side AS row_id, concat('T', CAST(o_orderkey * 2 + side AS STRING)) AS txn_id, CAST(o_orderkey AS STRING) AS customer_id,
+  CASE WHEN o_orderkey % 3 = 0 THEN CASE side WHEN 0 THEN 'JOHN  SMITH' ELSE 'SMITH JOHN' END WHEN o_orderkey % 3 = 1 THEN CASE side WHEN 0 THEN 'AAAA' ELSE 'BBBB' END END AS name,
+  CASE WHEN o_orderkey % 4 = 0 THEN CASE side WHEN 0 THEN 'REF-12345-A' ELSE 'REF-12345-B' END WHEN o_orderkey % 4 = 1 THEN CASE side WHEN 0 THEN 'REF-12345-AB' ELSE 'REF-12345' END END AS reference,
+  CAST(o_orderkey % 1000 AS DOUBLE) + 1.0 AS amount, CAST(o_orderdate AS TIMESTAMP) + side * (o_orderkey % 1000) * INTERVAL '60' SECOND AS ts FROM (SELECT o_orderkey, o_orderdate, 0 AS side FROM orders UNION ALL SELECT o_orderkey, o_orderdate, 1 FROM orders) AS s"""
+
+
 def feed(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """One of the feeds above over the Parquet tables in sf_dir."""
     name = "events" if sql is EVENTS else "orders"

@@ -22,7 +22,7 @@ def plain(rows, columns):
     return sorted((tuple(cell(r[i]) for i in order) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", ["parse_amount", "parse_dates", "validation_severity", "validation_audit", "dup_exact", "dup_retry_window", "dup_clusters", "gold_duplicate_summary", "recon_refund", "recon_settlement", "recon_fx", "gold_fx_variance"])
+@pytest.mark.parametrize("name", ["parse_amount", "parse_dates", "validation_severity", "validation_audit", "dup_exact", "dup_retry_window", "dup_clusters", "gold_duplicate_summary", "recon_refund", "recon_settlement", "recon_fx", "gold_fx_variance", "canonical_txn_view", "rule_rare", "dup_retry_many", "dup_fuzzy_named", "gold_validation_summary", "transaction_master_full", "normalization_actions", "number_rows"])
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -89,17 +89,79 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_csv_layers(spark, tmp_path):
+def test_csv_files_by_their_own_headers(spark, tmp_path):
+    from tallyspark.sources import csv
+
+    raw = tmp_path / "raw"
+    (raw / "below").mkdir(parents=True)
+    (raw / "A.CSV").write_text('Txn ID,Amount,Note\nT1,5,n1\nT2\nT3,1,2,3,4\nT9,7,,x,y\nT4,8,"a, ""b"" c"\n')
+    (raw / "b.csv").write_text("\ufeffAmount,Txn ID,Note\n6,T5,n2\n", encoding="utf-8")
+    (raw / "c.csv").write_bytes(b"Txn ID,Amount\nT\xff6,1\n")
+    (raw / "notes.txt").write_text("Txn ID\nT7\n")
+    (raw / "below" / "d.csv").write_text("Txn ID\nT8\n")
+    files = csv.discover(spark, str(raw))
+    assert [(r["source_file_name"], r["encoding"]) for r in files.collect()] == [("A.CSV", "utf-8"), ("b.csv", "utf-8-sig"), ("c.csv", "unknown")]
+    rows = csv.read_raw(spark, str(raw), files)
+    got = {r["txn_id"]: (r["amount"], r["note"], r["_bad"]) for r in rows.collect()}
+    assert got == {"T1": ("5", "n1", False), "T2": (None, None, False), "T3": ("1", "2", True), "T9": ("7", None, True), "T4": ("8", 'a, "b" c', False), "T5": ("6", "n2", False)}
+    m = {r["source_file_name"]: (r["row_count"], r["column_count"], r["skipped"], r["encoding"], r["ingestion_status"]) for r in csv.manifest(rows, files, "b1", "2024-01-01").collect()}
+    assert m == {"A.CSV": (3, 6, 2, "utf-8", "PARTIAL"), "b.csv": (1, 6, 0, "utf-8-sig", "SUCCESS"), "c.csv": (0, 0, 0, "unknown", "FAILED")}
+
+
+def test_from_files_to_marts(spark, tmp_path):
     from tallyspark.plans.pipeline import Pipeline
+    from tallyspark.sources import csv
 
     (tmp_path / "raw").mkdir()
-    (tmp_path / "raw" / "A.CSV").write_text("Txn ID,Messy Amount,Messy Txn Date\nT1,USD 5.00,2024-01-02\nT2\nT3,1,2,3,4\n")
-    p = Pipeline(spark, str(tmp_path / "out"))
-    m = p.ingest(str(tmp_path / "raw"), ["Txn ID", "Messy Amount", "Messy Txn Date"], "b1", "2024-01-01").collect()
-    assert [(r["row_count"], r["skipped"], r["ingestion_status"]) for r in m] == [(2, 1, "PARTIAL")]
-    for _ in range(2):  # a batch again gives the same layers
-        p.silver("b1")
-        assert p.validate("b1").agg(F.sum("rows_processed")).first()[0] == 2
+    head = "Txn ID,Messy Amount,Messy Txn Date,Customer ID,Primary Account Number,Settlement Reference,Txn Timestamp,Txn Type,Reference Number\n"
+    line = "{},USD 10.00,2024-01-02,C1,ACC1,{},2024-01-02 10:00:00,payment,\n"
+    (tmp_path / "raw" / "a.csv").write_text(head + line.format("T1001", "T1002") + line.format("T1002", "T1001") + line.format("T1002", "T1001") + ",,,,,,,,\n")
+    (tmp_path / "raw" / "b.csv").write_text(head + line.format("T1003", "T9999"))
+    p = Pipeline(spark, str(tmp_path / "out"), at="2024-06-30 00:00:00")
+    out = p.run(str(tmp_path / "raw"), "b1")
+    one = {k: v.collect() for k, v in out.items()}
+    assert {r["ingestion_status"] for r in one["manifest"]} == {"SUCCESS"} and sum(r["row_count"] for r in one["manifest"]) == 5
+    assert sum(r["rows_processed"] for r in one["validation_summary"]) == 5 and sum(r["rows_rejected"] for r in one["validation_summary"]) == 1
+    kpi = one["executive_kpis"][0]
+    assert (kpi["rows_processed"], kpi["rows_valid"], kpi["rows_warning"]) == (5, 2, 2)
+    master = {r["transaction_id"]: r for r in one["gold_transaction_master"]}
+    assert set(master) == {"T1001", "T1003"} and master["T1003"]["reconciliation_status"] == "MISSING_SETTLEMENT" and len(out["gold_transaction_master"].columns) == 17
+    assert {r["stage"]: r["rows"] for r in one["lineage"]}["bronze"] == 5
+    p.silver("b1")  # a step again gives the same layer
+    assert p.read("silver", "b1").count() == 5
+    assert csv.read_batch(spark, p.layer("nothing"), "b1", "x long").count() == 0 and csv.read_batch(spark, p.layer("silver"), "b1", rows=2).count() == 2
+
+
+def _streamed(spark, tmp_path, name, df, build):
+    df.write.parquet(str(tmp_path / name))
+    s = spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    q = build(s).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name).collect()
+
+
+def test_streams_of_retries_and_volumes(spark, tmp_path):
+    from tallyspark.streaming import ingest
+
+    rows = [("T1", "C1", 5.0, "2024-01-01 00:00:00"), ("T2", "C1", 5.0, "2024-01-01 00:04:00"), ("T3", "C1", 5.0, "2024-01-01 00:20:00"), ("T4", "C2", 5.0, "2024-01-01 00:00:10")]
+    df = spark.createDataFrame(rows, "txn_id string, customer_id string, amount double, t string").selectExpr("txn_id", "customer_id", "amount", "CAST(t AS TIMESTAMP) AS ts")
+    assert [(r["txn_a"], r["txn_b"]) for r in _streamed(spark, tmp_path, "again", df, lambda s: ingest.retries(s, s.select("*")))] == [("T1", "T2")]
+    ev = spark.createDataFrame([("a", 1.0, "2024-01-01 00:10:00"), ("a", 2.0, "2024-01-01 00:50:00"), ("b", 4.0, "2024-01-01 00:50:00"), ("z", 0.0, "2024-01-01 05:00:00")], "event_type string, value double, t string").selectExpr("event_type", "value", "CAST(t AS TIMESTAMP) AS ts")
+    assert sorted((r["event_type"], r["n"], r["total"]) for r in _streamed(spark, tmp_path, "volumes", ev, ingest.volumes)) == [("a", 2, 3.0), ("b", 1, 4.0)]
+
+
+def test_emitted_pairs_of_a_block_are_capped_in_row_order(spark):
+    from tallyspark.config import Config
+
+    rows = spark.range(40).selectExpr("id AS row_id", "concat('T', id) AS txn_id", "'C' AS customer_id", "CAST(NULL AS STRING) AS name", "CAST(NULL AS STRING) AS reference", "5.0D AS amount", "TIMESTAMP '2024-01-01 00:00:00' AS ts")
+    pairs = [(r["a"], r["b"]) for r in D.fuzzy(rows, Config(fuzzy_cap=50)).collect()]
+    assert sorted(pairs) == [(i, j) for i in range(40) for j in range(i + 1, 40)][:50]
+
+
+def test_mart_without_pairs(spark):
+    none = spark.createDataFrame([], "a long, b long, duplicate_classification string, duplicate_confidence int, duplicate_logic string")
+    assert [tuple(r) for r in D.mart(none).collect()] == [("NONE", 0, 0.0, 0, 0)]
 
 
 def test_stream_first_seen(spark, tmp_path):
