@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stash
+from ._common import release, stash
 
 #: A host's pages are dealt over buckets of about FEW_PAGES, up to so many buckets; beyond that, of BUCKET_PAGES at most. Alignments stay within a bucket.
 FEW_PAGES, BUCKETS, BUCKET_PAGES = 128, 64, 4096
@@ -131,32 +131,47 @@ def parse(page: str) -> Node:
     return root
 
 
-def blocks(node: Node, path: str = "", out: bool = False, found: list | None = None, into: list | None = None) -> list[tuple[str, bool, str, Node]]:
+def _below(path: str, sign: str) -> str:
+    """The path of a child; a long one is told by its hash."""
+    path = f"{path}/{sign}"
+    return path if len(path) <= 1024 else f"#{xxhash.xxh3_128_hexdigest(path)}"
+
+
+def blocks(root: Node) -> list[tuple[str, bool, str, Node]]:
     """(path, whether it is in a region without content, text, element) of each block of text, in page order."""
-    found = [] if found is None else found
+    found: list[tuple[str, bool, str, Node]] = []
     run: list[str] = []
+    # what is open: (its block's path, whether it is in such a region, its block, whether its text is left out, its children left)
+    here = ("", False, root)
 
     def flush():
         text = " ".join(html.unescape("".join(run)).split())
         if text:
-            found.append((path, out, text, node))
+            found.append((here[0], here[1], text, here[2]))
         run.clear()
 
-    def walk(n: Node, hidden: bool):
-        for k in n.kids:
-            if isinstance(k, str):
-                if not hidden:
-                    run.append(k)
-            elif k.tag in BLOCKS or k.out and not hidden:
+    stack = [(here, False, iter(root.kids))]
+    while stack:
+        own, hidden, kids = stack[-1]
+        if own is not here:
+            here = own
+        k = next(kids, None)
+        if k is None:
+            stack.pop()
+            if not stack or stack[-1][0] is not own:
                 flush()
-                blocks(k, f"{path}/{k.sign}", out or hidden or k.out or k.tag == "header" and not _within(k, ("article", "main")), found)
-            elif k.tag == "br":
-                run.append(" ")
-            else:
-                walk(k, hidden)
-
-    walk(node, False)
-    flush()
+                here = stack[-1][0] if stack else here
+        elif isinstance(k, str):
+            if not hidden:
+                run.append(k)
+        elif k.tag in BLOCKS or k.out and not hidden:
+            flush()
+            here = (_below(own[0], k.sign), own[1] or hidden or k.out or k.tag == "header" and not _within(k, ("article", "main")), k)
+            stack.append((here, False, iter(k.kids)))
+        elif k.tag == "br":
+            run.append(" ")
+        else:
+            stack.append((own, hidden, iter(k.kids)))
     return found
 
 
@@ -166,10 +181,15 @@ def _within(n: Node, tags: tuple[str, ...]) -> bool:
     return n is not None
 
 
-def _prints(n: Node, found: dict[int, int]) -> int:
+def _prints(root: Node, found: dict[int, int]) -> None:
     """Hashes of all there is in a node and those below."""
-    h = found[id(n)] = hash((n.sign, *[k if isinstance(k, str) else _prints(k, found) for k in n.kids]))
-    return h
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack += [k for k in n.kids if not isinstance(k, str)]
+    for n in reversed(order):
+        found[id(n)] = hash((n.sign, *[k if isinstance(k, str) else found[id(k)] for k in n.kids]))
 
 
 def _rising(at: list[int]) -> list[int]:
@@ -232,13 +252,18 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
         return same, between
 
     def table(xs, ys):
+        """Best matches of beginnings of two lists; asks for the sizes of pairs, one after the other."""
         m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
         for i, x in enumerate(xs, 1):
             row, above = m[i], m[i - 1]
             for j, y in enumerate(ys, 1):
                 best = above[j] if above[j] >= row[j - 1] else row[j - 1]
-                if x.sign == y.sign and (v := above[j - 1] + size(x, y)) > best:
-                    best = v
+                if x.sign == y.sign:
+                    v = memo.get((id(x), id(y)))
+                    if v is None:
+                        v = yield x, y
+                    if above[j - 1] + v > best:
+                        best = above[j - 1] + v
                 row[j] = best
         return m
 
@@ -257,14 +282,38 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
         return out
 
     def size(x, y):
+        """Nodes in the best match of two trees; asks for those of pairs below."""
         xs, ys = of(x), of(y)
         if not xs or not ys:
             return 1
-        key = (id(x), id(y))
-        if key not in memo:
-            same, between = parts(xs, ys)
-            memo[key] = 1 + sum(size(p, q) for p, q in same) + sum(table(p, q)[-1][-1] if len(p) * len(q) <= CELLS else sum(size(c, d) for c, d in in_order(p, q)) for p, q in between)
-        return memo[key]
+        same, between = parts(xs, ys)
+        total = 1
+        for p, q in between:
+            if len(p) * len(q) <= CELLS:
+                total += (yield from table(p, q))[-1][-1]
+            else:
+                same = same + in_order(p, q)
+        for p, q in same:
+            v = memo.get((id(p), id(q)))
+            total += (yield p, q) if v is None else v
+        return total
+
+    def solved(first):
+        """The result of size or table: what they ask for is worked off a list, so that no depth of a tree is too much."""
+        asked, value = [(None, first)], None
+        while True:
+            key, work = asked[-1]
+            try:
+                x, y = work.send(value)
+            except StopIteration as end:
+                asked.pop()
+                value = end.value
+                if not asked:
+                    return value
+                memo[key] = value
+            else:
+                asked.append(((id(x), id(y)), size(x, y)))
+                value = None
 
     pairs: list[tuple[Node, Node]] = []
     stack = [(a, b)]
@@ -277,7 +326,7 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
             if len(xs) * len(ys) > CELLS:
                 stack += in_order(xs, ys)
                 continue
-            m, i, j = table(xs, ys), len(xs), len(ys)
+            m, i, j = solved(table(xs, ys)), len(xs), len(ys)
             while i and j:
                 if m[i][j] == m[i - 1][j]:
                     i -= 1
@@ -294,8 +343,8 @@ def _key(path: str, text: str) -> int:
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows host, page_id, html, a host's next to each other: (host, node path, text key or null, matches, varying, alignments of pages)."""
-    host, last = None, None
+    """Rows host, bucket, html, a bucket's next to each other: (host, node path, text key or null, matches, varying, alignments of pages)."""
+    now, last = None, None
     seen: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
 
     def counted():
@@ -305,13 +354,13 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for b in batches:
-        for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for h, bucket, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
             root = parse(page or "")
             held = defaultdict(list)
             for path, _, text, node in blocks(root):
                 held[id(node)].append((path, text))
-            if h != host:
-                host, last = h, None
+            if (h, bucket) != now:
+                now, last = (h, bucket), None
             if last is not None:
                 total = same = 0
                 votes = []
@@ -332,6 +381,7 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = (root, held)
         if len(seen) > 50_000:
             yield counted()
+        release()
     yield counted()
 
 
@@ -344,7 +394,7 @@ def induce(pages: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(large), "host", "left")
     rows = rows.select("host", F.pmod(F.xxhash64("page_id"), F.coalesce("buckets", F.lit(1))).alias("bucket"), "page_id", "html")
     rows = rows.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "page_id", "html")
-    seen = rows.select("host", "html").mapInArrow(_evidence, "host string, path string, text long, met long, varied long, aligned long")
+    seen = rows.select("host", "bucket", "html").mapInArrow(_evidence, "host string, path string, text long, met long, varied long, aligned long")
     seen = stash(seen.groupBy("host", "path", "text").agg(*[F.sum(c).alias(c) for c in ("met", "varied", "aligned")]), "wrappers")
     slot = seen.where("text IS NULL").select("host", "path", F.col("met").alias("all"), "varied", F.col("aligned").alias("pages"))
     same = seen.where(f"text IS NOT NULL AND met >= {LEAST}").join(slot.select("host", "path", "pages"), ["host", "path"]).where(F.col("met") >= SHARE * F.col("pages"))
@@ -375,7 +425,13 @@ def extract(page: str | None, wrapper: dict | None = None) -> str:
             weight[id(node)] += w
             nodes[id(node)] = node
             node = node.up
-    depth = lambda n: 0 if n.up is None else 1 + depth(n.up)
+
+    def depth(n: Node) -> int:
+        d = 0
+        while n.up is not None:
+            n, d = n.up, d + 1
+        return d
+
     holders = [nodes[k] for k, w in weight.items() if 2 * w > total and nodes[k].tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")]
     best = max(holders, key=depth)
     whole = _outermost(best, "article")
@@ -414,6 +470,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known[w] = json.loads(w)
             out.append(extract(page, known[w] if w is not None else None))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        release()
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -214,6 +214,45 @@ def test_articles_with_most_of_the_text_are_the_content():
     assert wrapper_html.extract(page) == "One\nFirst long text of it\nTwo\nSecond long text"
 
 
+def best_match(a, b):
+    """Nodes in the largest match of equal signs that keeps order and ancestry, by all ways of matching children."""
+    xs, ys = ([k for k in n.kids if not isinstance(k, str)] for n in (a, b))
+
+    def of(i, j):
+        if i == len(xs) or j == len(ys):
+            return 0
+        skip = max(of(i + 1, j), of(i, j + 1))
+        return max(skip, best_match(xs[i], ys[j]) + of(i + 1, j + 1)) if xs[i].sign == ys[j].sign else skip
+
+    return 1 + of(0, 0)
+
+
+def test_alignments_of_small_trees_by_brute_force():
+    rng = random.Random(7)
+
+    def tree(depth):
+        return "".join(f"<{t}>{rng.choice('xyz')}{tree(depth - 1) if depth else ''}</{t}>" for t in rng.choices(["div", "b", "i"], k=rng.randint(0, 3)))
+
+    smaller = 0
+    for _ in range(200):
+        a, b = wrapper_html.parse(tree(2)), wrapper_html.parse(tree(2))
+        pairs, most = wrapper_html.align(a, b), best_match(a, b)
+        assert len(pairs) <= most and all(x.sign == y.sign for x, y in pairs)
+        assert len({id(x) for x, _ in pairs}) == len(pairs) == len({id(y) for _, y in pairs})
+        smaller += len(pairs) < most  # equal subtrees that are matched first may cost a node
+    assert smaller < 40
+
+
+def test_deep_long_and_odd_pages(spark):
+    deep = "<div>" * 3000 + "<p>down here {0}</p>" + "</div>" * 3000
+    long = "<div>" + "".join(f"<p>Paragraph {i}</p>" for i in range(20000)) + "</div>"
+    rows = [(i, "http://deep.example/", deep.format(i), 1) for i in range(5)] + [(10, "http://long.example/", long, 1), (11, "http://long.example/", long + "<p>x</p>", 1), (None, None, "<p>a<p>b", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    out = {r["page_id"]: r for r in wrapper_html.main_text(pages).collect()}
+    assert out[3]["text"] == "down here 3" and out[10]["text"].count("\n") == 19999 and out[None]["text"] == "a\nb"
+    assert wrapper_html.main_text(pages.limit(0)).count() == 0
+
+
 def test_tree_matching():
     a, b = wrapper_html.parse("<ul><li>1<li>2<li>3</ul>"), wrapper_html.parse("<ul><li>1<b>x</b><li>3</ul>")
     assert len(wrapper_html.align(a, b)) == 4  # root, list, two items
