@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut_points, range_of, shingles
+from ._common import cut_points, range_of, release, shingles
 
 SCALE = 1
 #: Rows in a range of doc_ids; ranges keep neighbours together. Rows that are returned together.
@@ -81,6 +81,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append(row(*last, text, own))
                 last = None if guest else (part, doc_id, text, own)
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=names)
+        release()
 
 
 def fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -104,7 +105,8 @@ def fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     first = F.col("doc_id").eqNullSafe(F.col("top"))
     dealt = tagged.select("doc_id", "text", F.explode(F.when(first, F.array(F.struct(F.col("part"), F.lit(0).alias("guest")), F.struct(F.col("host").alias("part"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("guest"))))).alias("x"))
     dealt = dealt.select(F.col("x.part").alias("part"), F.col("x.guest").alias("guest"), "doc_id", "text")
-    dealt = dealt.repartition(max(1, len(tops)), "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    # ranges in order, about one in a task: by hash some tasks would get several and others none
+    dealt = dealt.repartitionByRange(max(1, len(tops)), "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
     return dealt.mapInArrow(_pairs, _SCHEMA)
 
 

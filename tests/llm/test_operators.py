@@ -381,6 +381,7 @@ def test_sketches_of_short_texts(spark):
     out = sketch.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     got = {r["doc_id"]: r for r in out}
     assert len({r["fingerprint"] for r in out}) == len(texts) // 2
+    assert all(got[i]["n_chars"] == len(t) and len(sketch.from_text(got[i]["fingerprint"])) == len(sets(t)) and len(sketch.from_text(got[i]["edited_fingerprint"])) == len(sets(sketch.edited(t, texts[i - 1]))) for i, t in enumerate(texts))
     for i, t in enumerate(texts):
         a, b = sets(t), sets(texts[i - 1])
         assert got[i]["near_next"] == (len(a & b) / len(a | b) if a | b else 1.0)
