@@ -18,13 +18,24 @@ from ._common import fresh, stash
 BLOCK, PERIOD, TEMPER = 16, 200, 0.9
 #: Rows of a source are ordered by md5(SEED || doc_id), in so many ranges of its first hex digits.
 SEED, DIGITS = "mix-1:", 3
+_NULL = "\x00null"
 
 
-def shares(counts: DataFrame, period: int = PERIOD, temper: float = TEMPER) -> DataFrame:
+def _target(weights: dict[str | None, float] | None, temper: float) -> Column:
+    """A source's weight: as given (0 where it is not), or its tempered row count."""
+    if weights is None:
+        return F.pow("n", F.lit(temper))
+    if not any(w > 0 for w in weights.values()) or any(w < 0 for w in weights.values()):
+        raise ValueError("weights must not be negative, and one must be above 0")
+    known = F.create_map(*[x for k, w in weights.items() for x in (F.lit(_NULL if k is None else k), F.lit(float(w)))])
+    return F.coalesce(F.try_element_at(known, F.col("source")), F.lit(0.0))
+
+
+def shares(counts: DataFrame, period: int = PERIOD, temper: float = TEMPER, weights: dict[str | None, float] | None = None) -> DataFrame:
     """source, n -> source, n, units: whole units of a period, by largest remainder, one at least."""
     all_rows = W.partitionBy(F.lit(1))
-    w = counts.withColumn("p", F.pow("n", F.lit(temper)))
-    w = w.withColumn("sources", F.count("*").over(all_rows)).withColumn("p", F.col("p") / F.sum("p").over(all_rows))
+    w = counts.withColumn("p", _target(weights, temper))
+    w = w.withColumn("sources", F.count("*").over(all_rows)).withColumn("p", F.coalesce(F.try_divide(F.col("p"), F.sum("p").over(all_rows)), 1 / F.col("sources")))
     span = F.greatest(F.lit(period), 4 * F.col("sources"))  # each source needs a unit
     w = w.withColumn("span", span).withColumn("quota", F.round(F.col("p") * (span - F.col("sources")), 6))
     w = w.withColumn("base", F.floor("quota")).withColumn("over", F.col("span") - F.col("sources") - F.sum("base").over(all_rows))
@@ -49,15 +60,16 @@ def period_schedule(units: DataFrame) -> DataFrame:
 
 
 def _source(df: DataFrame) -> Column:
-    return F.coalesce(df["source"], F.lit("\x00null"))
+    return F.coalesce(df["source"], F.lit(_NULL))
 
 
-def schedule(docs: DataFrame, block: int = BLOCK, period: int = PERIOD, temper: float = TEMPER) -> DataFrame:
+def schedule(docs: DataFrame, block: int = BLOCK, period: int = PERIOD, temper: float = TEMPER, weights: dict[str | None, float] | None = None) -> DataFrame:
     """A row for each row of docs: doc_id, source, rank, block, release, deadline, slot, in_mix.
 
     rank: from 0, of the row in its source by md5 of the seed and doc_id. slot: of its block. in_mix: the slot
     comes before the first slot that an exhausted source would have filled, so over these rows every source has
-    its target share, less than a block off. Weights are tempered row counts. A null source is a source of its own
+    its target share, less than a block off. weights: each source's target (None: of the null source), of any sum; a source without
+    one gets the least share, one unit of a period. Without weights they are tempered row counts. A null source is a source of its own
     (returned as null); a null doc_id sorts first; repeated rows are ranked next to each other; an empty table gives
     an empty result. The rank is a count over ranges of the hash plus a rank within the range, so that a
     source with most of the rows is spread over thousands of ranges.
@@ -67,7 +79,7 @@ def schedule(docs: DataFrame, block: int = BLOCK, period: int = PERIOD, temper:
     parts = stash(rows.groupBy("source", "part").agg(F.count("*").alias("n")), "mix-parts")
     before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = parts.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    units = stash(shares(parts.groupBy("source").agg(F.sum("n").alias("n")), period, temper), "mix-units")
+    units = stash(shares(parts.groupBy("source").agg(F.sum("n").alias("n")), period, temper, weights), "mix-units")
     slots = stash(period_schedule(units).join(units, "source"), "mix-slots")
 
     blocks = F.expr(f"(n + {block - 1}) DIV {block}")  # of a source, the last one perhaps short: all shares hold until one is used up
@@ -76,13 +88,13 @@ def schedule(docs: DataFrame, block: int = BLOCK, period: int = PERIOD, temper:
     end = ends.agg(F.min(F.expr("(done DIV units) * span + slot")).alias("end"))
 
     within = W.partitionBy("source", "part").orderBy(F.col("key"), F.col("doc_id").asc_nulls_first())
-    rows = rows.withColumn("r", F.row_number().over(within)).join(offsets, ["source", "part"])
+    rows = rows.withColumn("r", F.row_number().over(within)).join(offsets.hint("merge"), ["source", "part"])  # both lie by (source, part); a number for each grows with the sources
     rows = rows.select("doc_id", "source", (F.col("offset") + F.col("r") - 1).alias("rank")).withColumn("block", F.expr(f"rank DIV {block}"))
     rows = rows.join(units.select("source", "units", "span"), "source").withColumn("k", F.expr("block % units"))
     rows = rows.join(slots.select("source", "k", F.col("slot").alias("at")), ["source", "k"]).join(F.broadcast(end))
     slot = F.expr("(block DIV units) * span + at")
     return rows.select(
-        "doc_id", F.when(F.col("source") != "\x00null", F.col("source")).alias("source"), F.col("rank").cast("long").alias("rank"), "block",
+        "doc_id", F.when(F.col("source") != _NULL, F.col("source")).alias("source"), F.col("rank").cast("long").alias("rank"), "block",
         F.expr("(block * span) DIV units").alias("release"), F.expr("((block + 1) * span + units - 1) DIV units").alias("deadline"),
         slot.alias("slot"), (slot < F.col("end")).alias("in_mix"),
     )
