@@ -112,9 +112,9 @@ def render(turns: list[Turn], template: Template) -> Rendered:
     return result
 
 
-def loss_text(r: Rendered, turns: list[Turn], roles: tuple[str, ...] = ("assistant",)) -> list[str]:
+def loss_text(r: Rendered, turns: list[Turn], roles: tuple[str, ...] = ("assistant",), plain: Callable[[str], str] = unescape) -> list[str]:
     """The output's parts under the loss mask, unescaped: one for each turn of these roles."""
-    return [unescape(r.text[a:z]) for (a, z), t in zip(r.slots, turns, strict=False) if t["role"] in roles]
+    return [plain(r.text[a:z]) for (a, z), t in zip(r.slots, turns, strict=False) if t["role"] in roles]
 
 
 def _digest(texts: Iterator[str]) -> str:
@@ -129,37 +129,56 @@ _SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.int64())]
 
 
-def _formatted(conv_id: int | None, turns: list[Turn]) -> tuple:
-    r = render(turns, remembering())
-    back = parse_marked(r.text)
-    loss = loss_text(r, turns)
+@dataclass(frozen=True)
+class Format:
+    """make: a template for one conversation. parse: (role, text) of each turn from an output, ValueError if it can't tell. plain: undoes the escaping of a text."""
+
+    make: Callable[[], Template]
+    parse: Callable[[str], list[tuple[str, str]]] | None = None
+    plain: Callable[[str], str] = str
+
+
+MARKED = Format(remembering, parse_marked, unescape)
+
+
+def _formatted(conv_id: int | None, turns: list[Turn], how: Format) -> tuple:
+    r = render(turns, how.make())
+    try:
+        back = how.parse(r.text) if how.parse else None
+    except ValueError:
+        back = None
+    loss = loss_text(r, turns, plain=how.plain)
     flat = [x for span in r.slots for x in span]
-    return conv_id, len(back), _digest(f"{a}\n{b}\n" for a, b in back), sum(map(len, loss)), _digest(loss), len(r.text), r.rewrites, r.text, flat
+    read = (None, None) if back is None else (len(back), _digest(f"{a}\n{b}\n" for a, b in back))
+    return conv_id, *read, sum(map(len, loss)), _digest(loss), len(r.text), r.rewrites, r.text, flat
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grouped(batches: Iterator[pa.RecordBatch], how: Format = MARKED) -> Iterator[pa.RecordBatch]:
     """Rows conv_id, role, text, a conversation's next to each other and in order."""
     held, now, begun = [], None, False
     for b in batches:
         out = []
         for conv_id, role, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if begun and conv_id != now:
-                out.append(_formatted(now, held))
+                out.append(_formatted(now, held, how))
                 held = []
             now, begun = conv_id, True
             held.append({"role": role or "", "text": text or ""})
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names=_NAMES)
     if begun:
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(_formatted(now, held), _KINDS, strict=True)], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(_formatted(now, held, how), _KINDS, strict=True)], names=_NAMES)
 
 
-def format_conversations(rows: DataFrame) -> DataFrame:
+def format_conversations(rows: DataFrame, how: Format = MARKED) -> DataFrame:
     """A row for each conv_id, read back from its formatted output, with that output and the spans (start, end, ...) of its texts.
 
+    Where the format has no parser, or its parser can't read an output, n_turns and turns_sha256 are null. Where the template rewrites history
+    (rewrites_history), spans and the loss figures cover the turns before it did.
+
     Turns are ordered by turn (null first), then role and text, so repeated turns all stay. Null texts and roles are
     empty; rows without conv_id are one conversation. Other columns are not read. An empty table gives an empty result.
     """
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(_grouped, _SCHEMA)
+    return dealt.select("conv_id", "role", "text").mapInArrow(lambda batches: _grouped(batches, how), _SCHEMA)

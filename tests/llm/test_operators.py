@@ -89,6 +89,18 @@ def test_mixing_follows_pfair(spark):
     assert mixing.schedule(spark.createDataFrame([], "doc_id long, source string")).count() == 0
 
 
+def test_mixing_to_given_weights(spark):
+    rows = [(i, s) for s, n in (("a", 1000), ("b", 1000), ("c", 40), (None, 500)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string").withColumn("slot", F.lit("clash"))
+    out = mixing.schedule(docs, block=2, period=100, weights={"a": 5, "b": 3, None: 2}).toPandas()
+    mix = out[out.in_mix].drop_duplicates(["source", "block"])
+    assert len(out) == len(rows) and (mix.slot >= mix.release).all() and (mix.slot < mix.deadline).all()
+    share = mix.fillna({"source": "none"}).groupby("source").size() / mix.slot.max()
+    assert abs(share["a"] - 0.5) < 0.04 and abs(share["b"] - 0.3) < 0.04 and abs(share["none"] - 0.2) < 0.04 and share["c"] < 0.03
+    with pytest.raises(ValueError):
+        mixing.schedule(docs, weights={"a": 0})
+
+
 def test_mix_keeps_columns(docs):
     out = mixing.mix(docs, block=1)
     assert out.columns == docs.columns and 0 < out.count() <= docs.count()
@@ -398,6 +410,22 @@ def test_chat(spark):
     assert "[INST]" not in out[1]["formatted"] and "</s>" not in out[1]["formatted"] and len(out) == 4
 
 
+def test_other_templates_run_distributed(spark):
+    def inst():
+        return lambda turns: "<s>" + "".join(f"[INST] {t['text'].strip()} [/INST]" if t["role"] == "user" else f" {t['text'].strip()}</s>" for t in turns)
+
+    def rewriting():
+        return lambda turns: f"{len(turns)}:" + chat_render.marked_turns(turns)
+
+    rows = [(1, 0, "user", "hi", "x"), (1, 1, "assistant", " yes ", "x"), (2, 0, "user", "a" * 3000, "x"), *[(3, k, ("user", "assistant")[k % 2], f"turn {k}", "x") for k in range(60)]]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    out = {r["conv_id"]: r for r in chat_render.format_conversations(df, chat_render.Format(inst)).collect()}
+    assert out[1]["formatted"] == "<s>[INST] hi [/INST] yes</s>" and out[1]["loss_chars"] == 3 and out[1]["n_turns"] is None and not out[1]["rewrites_history"]
+    assert out[3]["loss_chars"] == sum(len(f"turn {k}") for k in range(1, 60, 2))
+    assert all(r["rewrites_history"] and r["n_turns"] is None for r in chat_render.format_conversations(df, chat_render.Format(rewriting, chat_render.parse_marked)).collect())
+    assert chat_render.format_conversations(df.limit(0)).count() == 0
+
+
 def test_rewriting_template_is_detected():
     turns = [{"role": "user", "text": "a"}, {"role": "assistant", "text": "b"}]
     assert chat_render.render(turns, lambda t: f"{len(t)}:" + chat_render.marked_turns(t)).rewrites
