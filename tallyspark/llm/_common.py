@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 _LOCAL: list[tempfile.TemporaryDirectory] = []
 
 #: Words whose hashes one Python worker remembers; beyond it the memory is cleared (results do not change).
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, remainder
+from ._common import fresh, release, remainder
 
 COLUMNS, SAMPLE, EPOCHS = 1 << 14, 2400, 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.02
@@ -121,6 +121,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             if (found := grams(text.as_py())) is not None:
                 total[found[0]] += 1
                 total[COLUMNS] += 1
+        release()
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["col", "n"])
 
@@ -173,6 +174,7 @@ def _apply(rows: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             out = [m.predict(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            release()
 
     return rows.mapInArrow(predicted, "doc_id long, held_out boolean, lang_pred string, score double")
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, shingles, stash
+from ._common import fresh, release, shingles, stash
 
 SYMBOLS, CHUNK, ERRORS = 64, 4, 31
 #: Members of a bucket that one task compares with each other or with as many others.
@@ -56,6 +56,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo.append(z)
             sig.append(signature(found) if len(found) else None)
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "hi", "lo", "sig"])
+        release()
 
 
 def _keys() -> Column:
@@ -94,6 +95,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if 100 * both >= 75 * (len(x) + len(y) - both):
                 out.append((a, b))
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+        release()
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +108,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append(np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=256).astype("<u4").tobytes())
         rows = b.take(pa.array(keep, pa.int64()))
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(out, pa.binary())], names=["cid", "n", "sig", "profile"])
+        release()
 
 
 def _compared(rows: pa.Table) -> pa.Table:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, remainder, stash
+from ._common import fresh, release, remainder, stash
 
 FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 1.0, 1e-3, 2000, 11
 _CLASSES = [bytes(c for c in range(128) if test(chr(c))) for test in (str.isupper, str.islower, str.isdigit, lambda c: c in "#$%&*|<>{}[]\\^~=+_@/", lambda c: c in ".,;:!?'\"()-", lambda c: c in "!?", lambda c: c in " \t\n\r\x0b\x0c")]
@@ -53,6 +53,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [statistics(x.as_py()) for x in b.column(b.num_columns - 1)]
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*b.schema.names[:-1], "stats"])
+        release()
 
 
 @dataclass(frozen=True)
