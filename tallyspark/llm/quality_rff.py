@@ -2,8 +2,9 @@
 
 Statistics of each whole text are standardised with means and deviations of the training rows; RFF cosines of seeded
 Gaussian projections approximate a Gaussian kernel over them. The normal equations are summed over partitions and
-then over the cluster, so only their fixed number of cells reaches the driver, which solves the ridge system. Scores of
-the training rows are counted in fixed bins and made monotone by pooling adjacent violators.
+then over the cluster, by fold of the training rows, so only their fixed number of cells reaches the driver. It solves the
+ridge system of all folds, which scores, and for each fold that of the others: by it the fold's rows, which it has not
+seen, are scored for the calibration. Those scores are counted in fixed bins and made monotone by pooling adjacent violators.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ._common import fresh, release, remainder, stash
 
-FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 1.0, 1e-3, 2000, 11
+FEATURES, WIDTH, RIDGE, BINS, SEED, FOLDS = 256, 1.0, 1e-3, 2000, 11, 3
 _CLASSES = [bytes(c for c in range(128) if test(chr(c))) for test in (str.isupper, str.islower, str.isdigit, lambda c: c in "#$%&*|<>{}[]\\^~=+_@/", lambda c: c in ".,;:!?'\"()-", lambda c: c in "!?", lambda c: c in " \t\n\r\x0b\x0c")]
 _REPEAT = re.compile(rb"([^\sa-zA-Z0-9])\1")
 STATS = 20
@@ -91,7 +92,7 @@ def isotonic(x: np.ndarray, good: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 
 
 def fit(stats: DataFrame, d: int = STATS) -> Model:
-    """stats(stats array, y int): a model of P(y = 1). Without rows of both labels the score is constant."""
+    """stats(stats array, y int, fold int): a model of P(y = 1). Without rows of both labels the score is constant."""
     aggs = [f(F.col("stats")[i]).alias(f"{k}{i}") for i in range(d) for k, f in (("m", F.avg), ("s", F.stddev_pop))]
     one = stats.agg(F.count("*").alias("n"), F.sum("y").alias("good"), *aggs).first()
     if not one["n"]:
@@ -102,34 +103,45 @@ def fit(stats: DataFrame, d: int = STATS) -> Model:
     if one["good"] in (0, one["n"]):
         return model
     size = FEATURES + 1
+    upper = np.triu_indices(size, 0, size + 1)  # the features' products are symmetric; the last column is that with y
+
+    def split(batch):
+        fold = batch.column(2).to_numpy(zero_copy_only=False)
+        x, y = np.array(batch.column(0).to_pylist()), batch.column(1).to_numpy(zero_copy_only=False)
+        return ((int(k), x[fold == k], y[fold == k]) for k in np.unique(fold))
 
     def equations(batches):
-        total = np.zeros((size, size + 1))
+        total = {}
         for b in batches:
-            if b.num_rows:
-                x = model.features(np.array(b.column(0).to_pylist()))
-                y = b.column(1).to_numpy(zero_copy_only=False).astype(float)
-                total += x.T @ np.hstack([x, y[:, None]])
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["cell", "v"])
-
-    cells = stats.select("stats", "y").mapInArrow(equations, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
-    both = np.zeros(size * (size + 1))
-    both[[r["cell"] for r in cells]] = [r["v"] for r in cells]
-    both = both.reshape(size, size + 1)
-    weights = np.linalg.solve(both[:, :size] + RIDGE * one["n"] * np.eye(size) / FEATURES, both[:, size])
-    model = Model(model.mean, model.dev, weights, model.steps)
+            for k, stats_of, y in split(b):
+                x = model.features(stats_of)
+                total[k] = total.get(k, 0.0) + x.T @ np.hstack([x, y[:, None].astype(float)])
+        cell = pa.array(np.arange(len(upper[0]), dtype=np.int32))
+        for k, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k, np.int32)), cell, pa.array(sums[upper])], names=["fold", "cell", "v"])
+
+    cells = stats.select("stats", "y", "fold").mapInArrow(equations, "fold int, cell int, v double").groupBy("fold", "cell").agg(F.sum("v").alias("v")).toArrow()
+    fold, cell, v = (cells.column(c).to_numpy() for c in ("fold", "cell", "v"))
+    sums = np.zeros((FOLDS, size, size + 1))
+    sums[fold, upper[0][cell], upper[1][cell]] = v
+
+    def solve(both):
+        products = np.triu(both[:, :size]) + np.triu(both[:, :size], 1).T
+        rows = max(products[-1, -1], 1.0)  # the last feature is 1
+        return np.linalg.solve(products + RIDGE * rows * np.eye(size) / FEATURES, both[:, size])
+
+    others = [Model(model.mean, model.dev, solve(sums.sum(axis=0) - sums[k]), model.steps) for k in range(FOLDS)]
 
     def binned(batches):
         for b in batches:
-            if b.num_rows:
-                at = np.clip(np.floor((model.raw(np.array(b.column(0).to_pylist())) + 0.5) / 2 * BINS), 0, BINS - 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(at), b.column(1).cast(pa.int64())], names=["bin", "y"])
+            for k, stats_of, y in split(b):
+                at = np.clip(np.floor((others[k].raw(stats_of) + 0.5) / 2 * BINS), 0, BINS - 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(y.astype(np.int64))], names=["bin", "y"])
 
-    bins = stats.select("stats", "y").mapInArrow(binned, "bin int, y long").groupBy("bin").agg(F.sum("y").alias("g"), F.count("*").alias("n")).collect()
+    bins = stats.select("stats", "y", "fold").mapInArrow(binned, "bin int, y long").groupBy("bin").agg(F.sum("y").alias("g"), F.count("*").alias("n")).collect()
     bins = sorted((r["bin"], r["g"], r["n"]) for r in bins)
     x, g, n = (np.array(v, float) for v in zip(*bins, strict=True))
-    return Model(model.mean, model.dev, weights, isotonic((x + 0.5) / BINS * 2 - 0.5, g, n))
+    return Model(model.mean, model.dev, solve(sums.sum(axis=0)), isotonic((x + 0.5) / BINS * 2 - 0.5, g, n))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -142,7 +154,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "text")
     stats = stash(rows.mapInArrow(_measure, "doc_id long, held_out boolean, stats array<double>"), "quality")
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
-    train = stash(stats.where("NOT held_out").join(known, "doc_id").select("stats", "y"), "quality-train")
+    train = stash(stats.where("NOT held_out").join(known, "doc_id").select("stats", "y", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "quality-train")
     model = fit(train)
 
     def scored(batches):

@@ -353,6 +353,37 @@ def test_quality(spark, docs):
     assert kept.columns == docs.columns
 
 
+def test_quality_is_calibrated_on_rows_it_has_not_seen(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(WORDS) + rng.choice(["", "!", "#", ".", "9", "A"]) for _ in range(rng.randint(20, 90)))) for i in range(900)]
+    labels = spark.createDataFrame([(i, int(rng.random() < 0.5), 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    out = quality_rff.score_quality(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    y = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    # labels by chance: no score may be sure
+    assert np.mean([(r["score"] - y[r["doc_id"]]) ** 2 for r in out if r["held_out"]]) < 0.28
+
+
+def test_quality_model_by_brute_force(spark):
+    rng = np.random.RandomState(5)
+    x = rng.normal(size=(300, 4))
+    y = (np.sin(2 * x[:, 0]) + x[:, 1] + rng.normal(size=300) > 0).astype(int)
+    fold = rng.randint(0, quality_rff.FOLDS, 300)
+    rows = [(v.tolist(), int(a), int(k)) for v, a, k in zip(x, y, fold, strict=True)]
+    model = quality_rff.fit(spark.createDataFrame(rows, "stats array<double>, y int, fold int").repartition(5), 4)
+    z = model.features(x)
+
+    def ridge(some):
+        return np.linalg.solve(z[some].T @ z[some] + quality_rff.RIDGE * some.sum() * np.eye(z.shape[1]) / quality_rff.FEATURES, z[some].T @ y[some])
+
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.dev, x.std(axis=0))
+    assert np.allclose(model.raw(x), z @ ridge(fold >= 0), atol=1e-6)
+    raw = np.array([z[i] @ ridge(fold != fold[i]) for i in range(300)])
+    at = np.clip(np.floor((raw + 0.5) / 2 * quality_rff.BINS), 0, quality_rff.BINS - 1).astype(int)
+    bins = np.unique(at)
+    want = quality_rff.isotonic((bins + 0.5) / quality_rff.BINS * 2 - 0.5, np.array([y[at == b].sum() for b in bins], float), np.array([(at == b).sum() for b in bins], float))
+    assert np.allclose(np.interp(z @ ridge(fold >= 0), *want).clip(0, 1), model.score(x), atol=0.02)
+
+
 def test_isotonic_is_monotone():
     x, y = quality_rff.isotonic(np.arange(5.0), np.array([1, 0, 3, 2, 5.0]), np.full(5, 5.0))
     assert (np.diff(y) >= 0).all() and len(x) == len(y)
