@@ -42,7 +42,7 @@ class Pipeline:
         return self.write(csv.manifest(raw, files, batch, self.at), "manifest", batch)
 
     def silver(self, batch: str) -> DataFrame:
-        bronze = canonical.number_rows(self.read("bronze", batch))
+        bronze = canonical.number_rows(csv.spread(self.read("bronze", batch)))
         silver = standardize.standardize(standardize.rename(bronze), self.config)
         lineage = {"ingestion_processing_batch_id": F.lit(batch), "standardization_timestamp": F.lit(self.at), "pipeline_stage": F.lit("SILVER"), "source_layer": F.lit("BRONZE")}
         silver = self.write(silver.withColumns(lineage), "silver", batch)

@@ -19,6 +19,8 @@ from ..functions.columns import dedupe, snake_case
 
 METADATA = ("ingestion_timestamp", "source_file_name", "processing_batch_id")
 CSV = "*.[cC][sS][vV]"
+#: Bytes of a file worth a task of their own when rows are parsed (about a second's work in Parquet).
+SPLIT_BYTES = 256 << 10
 #: Commas outside quotes.
 _COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
@@ -94,6 +96,13 @@ def write_layer(df: DataFrame, path: str, batch: str) -> None:
     df.drop("processing_batch_id").write.mode("overwrite").parquet(f"{path}/processing_batch_id={batch}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A file scan dealt over the cores, where it has fewer splits: parsing a row costs far more than moving it. Scans with a split for each core are left alone."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, -(-size // SPLIT_BYTES))
+    return df.repartition(parts) if parts > 1 and df.rdd.getNumPartitions() < parts else df
+
+
 def read_batch(spark: SparkSession, path: str, batch: str, schema: str | None = None, rows: int | None = None) -> DataFrame:
     """One batch; other partitions are not listed or read. With a schema, a layer that is not there is empty; with rows, so many at most."""
     try:

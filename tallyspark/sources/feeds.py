@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .csv import spread
+
 _MONEY = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)"
 _Y, _M, _D = "CAST(year(o_orderdate) AS STRING)", "lpad(CAST(month(o_orderdate) AS STRING), 2, '0')", "lpad(CAST(day(o_orderdate) AS STRING), 2, '0')"
 
@@ -67,4 +69,4 @@ NAMED = """SELECT o_orderkey * 2 + side AS row_id, concat('T', CAST(o_orderkey *
 def feed(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """One of the feeds above over the Parquet tables in sf_dir."""
     name = "events" if sql is EVENTS else "orders"
-    return spark.sql(sql.replace(f"FROM {name}", f"FROM {{{name}}}"), **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet")})
+    return spark.sql(sql.replace(f"FROM {name}", f"FROM {{{name}}}"), **{name: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))})

@@ -7,6 +7,7 @@ from tallyspark import queries as Q
 from tallyspark.functions import columns as X
 from tallyspark.functions.similarity import indel
 from tallyspark.operators import duplicates as D
+from tallyspark.sources import csv
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -173,3 +174,15 @@ def test_stream_first_seen(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("seen").count() == 2
+
+
+def test_scans_of_few_splits_are_dealt_over_the_cores(spark, monkeypatch):
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+    monkeypatch.setattr(csv, "SPLIT_BYTES", 1 << 10)
+    dealt = csv.spread(orders)
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and dealt.exceptAll(orders).count() == 0
+    assert csv.spread(dealt) is dealt
+    plan = dealt.where("o_orderkey > 5").select("o_orderkey")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<o_orderkey" in plan and ",o_custkey" not in plan.split("ReadSchema")[1] and "GreaterThan(o_orderkey,5)" in plan
+    monkeypatch.setattr(csv, "SPLIT_BYTES", 1 << 40)
+    assert csv.spread(orders) is orders
