@@ -28,13 +28,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: sources that are used up leave the rest in proportion."""
-    return mixing.mix(docs)
+    """All documents, in the order of the mix (mix_place: from 0): sources that are used up leave the rest in proportion."""
+    return mixing.mix(docs, place="mix_place")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, intact."""
-    return piece_codec.encode_documents(docs, vocabulary(PIECE_VOCABULARY))
+    """doc_id, n_tokens, ids, intact, source, mix_place: files hold ranges of places in the mix, in ascending order."""
+    laid = docs.repartitionByRange("mix_place").sortWithinPartitions("mix_place")  # files of the mix are not read in their order
+    return piece_codec.encode_documents(laid, vocabulary(PIECE_VOCABULARY), keep=["source", "mix_place"])
 
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("mix", mix), ("pieces", pieces)]

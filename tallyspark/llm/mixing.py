@@ -18,6 +18,8 @@ from ._common import fresh, stash
 BLOCK, PERIOD, TEMPER = 16, 200, 0.9
 #: Rows of a source are ordered by md5(SEED || doc_id), in so many ranges of its first hex digits.
 SEED, DIGITS = "mix-1:", 3
+#: Slots that are counted together for rows' places in the mix: BLOCK times as many rows at most, if no (doc_id, source) repeats.
+SLOTS = 64
 _NULL = "\x00null"
 
 
@@ -100,17 +102,30 @@ def schedule(docs: DataFrame, block: int = BLOCK, period: int = PERIOD, temper:
     )
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, place: str | None = None, **options) -> DataFrame:
     """All rows of docs, with all columns, laid out in the order of the schedule.
 
     Output files hold ranges of slots in ascending order. A source that is used up leaves its slots empty, so the sources left
     follow each other in the proportion of their weights. Rows that repeat a (doc_id, source) share their first rank.
+    place: name of a further column, long, that no column of docs has: 0 to the number of rows less one, each once, in that order (rows that
+    share a rank: by a hash of their columns). Readers of files are free in their order, so what follows finds the mix by it.
     """
-    slot, rank, did, src = fresh(docs, "mix_slot", "mix_rank", "mix_doc", "mix_source")
-    plan = schedule(docs, **options).groupBy("doc_id", "source").agg(F.min("slot").alias(slot), F.min("rank").alias(rank))
-    plan = stash(plan.select(F.col("doc_id").alias(did), F.col("source").alias(src), slot, rank), "mix-plan")
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(plan[did]) & docs["source"].eqNullSafe(plan[src]))
-    return out.repartitionByRange(F.col(slot)).sortWithinPartitions(slot, rank).select([docs[c] for c in docs.columns])
+    if place and place.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"docs has a column {place}")
+    slot, rank, did, src, part, n, first = fresh(docs, "mix_slot", "mix_rank", "mix_doc", "mix_source", "mix_part", "mix_n", "mix_first")
+    plan = schedule(docs, **options).groupBy("doc_id", "source").agg(F.min("slot").alias(slot), F.min("rank").alias(rank), F.count("*").alias(n))
+    plan = stash(plan.select(F.col("doc_id").alias(did), F.col("source").alias(src), slot, rank, n), "mix-plan")
+    same = docs["doc_id"].eqNullSafe(F.col(did)) & docs["source"].eqNullSafe(F.col(src))
+    if not place:
+        return docs.join(plan, same).repartitionByRange(F.col(slot)).sortWithinPartitions(slot, rank).select([docs[c] for c in docs.columns])
+    plan = plan.withColumn(part, F.expr(f"`{slot}` DIV {SLOTS}"))
+    before = W.partitionBy(F.lit(1)).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    firsts = plan.groupBy(part).agg(F.sum(n).alias(n)).select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    plan = stash(plan.drop(n).join(firsts.hint("merge"), part), "mix-places")
+    alike = F.xxhash64(*[docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    within = W.partitionBy(part).orderBy(slot, rank, alike)  # the ranges are of whole parts: no further exchange
+    out = docs.join(plan, same).repartitionByRange(F.col(part))
+    return out.select(*[docs[c] for c in docs.columns], (F.col(first) + F.row_number().over(within) - 1).alias(place))
 
 
 #: The same schedule in DuckDB's SQL, over documents.

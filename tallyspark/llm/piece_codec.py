@@ -17,7 +17,7 @@ import math
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain, repeat
 from typing import NamedTuple
 
@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from ._common import release
 
@@ -437,12 +438,18 @@ def codec(*options) -> Codec:
     return _CODECS[options]
 
 
-def encode_documents(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """doc_id, n_tokens, ids, intact (the ids decode to the text), a row for each row of docs.
+def encode_documents(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids, intact (the ids decode to the text) and the columns in keep, a row for each row of docs, in their order.
 
     Null and empty texts have no ids, and decode to an empty text. Rows of one doc_id and text have equal ids; a null
-    doc_id is hashed as such. Other columns are not read. An empty table gives an empty result.
+    doc_id is hashed as such. keep: columns of docs to carry, of other names than these four. Others are not read.
+    An empty table gives an empty result.
     """
+    schema = StructType.fromDDL("doc_id long, n_tokens long, ids array<int>, intact boolean")
+    if clash := {k.lower() for k in keep} & set(schema.names):
+        raise ValueError(f"not to be kept: {sorted(clash)}")
+    kept = docs.select("doc_id", "text", *keep)
+    schema = StructType([*schema, *kept.schema[2:]])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, dropout, seed)
@@ -457,7 +464,8 @@ def encode_documents(docs: DataFrame, path: str, dropout: float = DROPOUT, seed:
                 n = np.array([len(x) // 4 for x in out], np.int64)
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), lists, pa.array(intact)], names=["doc_id", "n_tokens", "ids", "intact"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), lists, pa.array(intact), *b.columns[2:]], names=names)
             release()
 
-    return docs.select("doc_id", "text").mapInArrow(encoded, "doc_id long, n_tokens long, ids array<int>, intact boolean")
+    names = schema.names
+    return kept.mapInArrow(encoded, schema)
